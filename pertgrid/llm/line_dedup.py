@@ -8,7 +8,7 @@ the first position (by doc_id, then line) where they occur.  Later positions tha
 matched grams that overlap merge, so a match extends both ways as far as the lines agree.
 
 A run of three lines qualifies whatever its length; one or two lines qualify when they have ``MIN_WORDS``
-words.  Only one join partner, the first position, is used for each gram, so that a line which occurs in a
+words, and then are windows of their own, all of them fingerprints.  Only one join partner, the first position, is used for each gram, so that a line which occurs in a
 third of all documents makes as many rows as it has positions and no pairs among them.
 """
 
@@ -43,16 +43,12 @@ def _grams(docs: DataFrame, min_words: int) -> DataFrame:
         return in_left | in_right | (m == 1)
 
     def around(i: Column) -> Column:
-        wide = (F.get("w", i) + F.get("w", i + 1)) >= min_words
-        return F.array(
-            F.when(i >= 1, gram(i - 1, 3)),
-            F.when(i + 2 < n, gram(i, 3)),
-            F.when(wide, gram(i, 2)),
-        )
+        return F.array(F.when(i >= 1, gram(i - 1, 3)), F.when(i + 2 < n, gram(i, 3)))
 
     positions = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), selected)).otherwise(F.array().cast("array<int>"))
     long_lines = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", i) >= min_words), lambda i: gram(i, 1))
-    found = F.concat(F.flatten(F.transform(positions, around)), long_lines)
+    wide = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.get("w", i) + F.get("w", i + 1) >= min_words)).otherwise(F.array().cast("array<int>"))
+    found = F.concat(F.flatten(F.transform(positions, around)), F.transform(wide, lambda i: gram(i, 2)), long_lines)
     return lines.select("doc_id", F.explode(F.array_distinct(F.filter(found, lambda g: g.isNotNull()))).alias("g")).select("doc_id", "g.*")
 
 
