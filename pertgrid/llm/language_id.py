@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the sample that is fitted: documents per language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 3000, 1 << 17
-PIECE_BYTES = 2048
-LEVEL = 3
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 3000, 1 << 18
+PIECE_BYTES = 1024
+LEVEL = 9
 #: Lead of the winner, as a share of the second smallest size, below which a document is rejected.
 MIN_MARGIN = 0.01
 UNDETERMINED = "und"
@@ -28,14 +28,16 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries from ``labelled`` (doc_id, text, lang): of each language the ``SAMPLE_DOCS`` documents that a hash
-    of doc_id puts first.  What comes to the driver is bounded by the three bounds times the number of languages."""
+    of doc_id puts first.  What comes to the driver is bounded by the three bounds times the number of languages.
+    Languages are in the order of their numbers of documents: it decides ties."""
     known = labelled.where("lang is not null and text is not null").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
     texts = labelled.where("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("lang", "place", "text").collect()
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     found: dict[str, bytes] = {}
-    for lang in sorted({r.lang for r in rows}):
+    for lang in sorted({r.lang for r in rows}, key=lambda x: (-counts[x], x)):
         sample = "\n".join(r.text.lower() for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.place, r.text)))
         found[lang] = sample.encode()[:DICTIONARY_BYTES]
     return found
@@ -59,7 +61,7 @@ def _classifier(dictionaries: dict[str, bytes]):
             piece = raw[at : at + PIECE_BYTES]
             for k, (_, c) in enumerate(kinds):
                 sums[k] += len(c.compress(piece))
-        order = sorted(range(len(kinds)), key=lambda k: (sums[k], kinds[k][0]))
+        order = sorted(range(len(kinds)), key=lambda k: (sums[k], k))
         best, second = sums[order[0]], sums[order[1]] if len(order) > 1 else 2 * sums[order[0]]
         margin = (second - best) / second
         return kinds[order[0]][0], min(1.0, margin / (margin + MIN_MARGIN)), margin
