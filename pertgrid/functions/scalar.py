@@ -168,3 +168,18 @@ def interval_gap(chr_a, start_a, end_a, chr_b, start_b, end_b) -> Column:
     """0 for overlapping intervals, the gap between others, null on different chromosomes."""
     gap = F.greatest(F.lit(0), _c(start_b) - _c(end_a), _c(start_a) - _c(end_b))
     return F.when(_c(chr_a) == _c(chr_b), gap)
+
+
+#: Coefficients, from the highest power down, of a published rational fit of the complementary error function whose relative error
+#: is below 1.2e-7 everywhere (fixed values).
+ERFC_FIT = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
+
+def normal_two_sided(z: Column | str) -> Column:
+    """P(|N| >= |z|) of a standard normal, as a column expression."""
+    x = F.abs(_c(z)) / 1.4142135623730951
+    t = 1 / (1 + 0.5 * x)
+    fit = F.lit(ERFC_FIT[0])
+    for c in ERFC_FIT[1:]:
+        fit = c + t * fit
+    return t * F.exp(-x * x + fit)

@@ -7,24 +7,14 @@ values, and the implicit zeros enter as one block in closed form.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import hash_order, log2_ratio, safe_divide
+from ..functions.scalar import hash_order, log2_ratio, normal_two_sided, safe_divide
 from .ranks import benjamini_hochberg
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """P(|N| >= |z|), Arrow-vectorised: Spark has no complementary error function."""
-    return pd.Series(np.array([math.erfc(abs(x) / math.sqrt(2)) if x == x else np.nan for x in z], float)).where(z.notna(), None)
-
-
 def cell_cpm(cells: DataFrame) -> DataFrame:
     """Per-cell CPM over the whole gene axis."""
     total = F.sum("count").over(Window.partitionBy("row_id"))

@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import pooling
+from . import expression, pooling
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "pooling"]
+__all__ = ["ORACLE_SQL", "QUERIES", "expression", "pooling"]
