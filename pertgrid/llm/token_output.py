@@ -46,17 +46,40 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LE
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """(blocks, 128) non-negative values to (blocks, 16 * width) bytes."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1)
+    """(blocks, 128) values to (blocks, 16 * width) bytes: one stream of bits, the lowest first."""
+    if width in (8, 16):
+        return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view(np.uint8).reshape(len(values), -1)
+    eights = values.reshape(-1, 8).T.astype(np.uint64)
+    out = np.zeros((width, eights.shape[1]), np.uint8)  # eight values fill ``width`` bytes
+    for k in range(8):
+        first, shift = divmod(k * width, 8)
+        moved = eights[k] << np.uint64(shift)
+        for b in range((shift + width + 7) // 8):
+            out[first + b] |= (moved >> np.uint64(8 * b)).astype(np.uint8)
+    return np.ascontiguousarray(out.T).reshape(len(values), -1)
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1).reshape(len(packed), BLOCK, width)
-    out = np.zeros((len(packed), BLOCK), np.uint32)
-    for k in range(width):
-        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    if width in (8, 16):
+        return np.ascontiguousarray(packed).view(f"<u{width // 8}").astype(np.uint32)
+    parts = np.ascontiguousarray(packed.reshape(-1, width).T)
+    out = np.empty((8, parts.shape[1]), np.uint64)
+    for k in range(8):
+        first, shift = divmod(k * width, 8)
+        x = parts[first].astype(np.uint64)
+        for b in range(1, (shift + width + 7) // 8):
+            x |= parts[first + b].astype(np.uint64) << np.uint64(8 * b)
+        out[k] = (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    return np.ascontiguousarray(out.T).astype(np.uint32).reshape(len(packed), BLOCK)
+
+
+#: Bits that a number below 2 ** 16 needs.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    high = x >> np.uint32(16)
+    return np.where(high > 0, _BITS[high] + np.uint8(16), _BITS[x & np.uint32(0xFFFF)]) if high.any() else _BITS[x]
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -68,9 +91,9 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     blocks = padded.reshape(n_blocks, BLOCK)
     base = blocks.min(axis=1) if n_blocks else np.empty(0, np.uint32)
     diff = blocks - base[:, None]
-    need = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)  # bits of each difference
-    width = np.partition(need, int(PERCENTILE * BLOCK) - 1, axis=1)[:, int(PERCENTILE * BLOCK) - 1] if n_blocks else np.empty(0, np.uint8)
-    out = need > width[:, None]
+    place = int(PERCENTILE * BLOCK) - 1
+    width = _bits(np.partition(diff, place, axis=1)[:, place]) if n_blocks else np.empty(0, np.uint8)
+    out = diff >= (np.uint64(1) << width.astype(np.uint64))[:, None]
     n_out = out.sum(axis=1)
     low = np.where(out, np.uint32(0), diff)
     packed: list[bytes] = [b""] * n_blocks
@@ -147,7 +170,7 @@ class PieceEncoder:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         pieces = _PIECE.findall(text.lower())
-        missing = list({p for p in pieces if p not in self.ids})
+        missing = list(set(pieces).difference(self.ids))
         if missing:
             if len(self.ids) + len(missing) > CACHE_PIECES:
                 self.ids.clear()
@@ -195,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         if ids:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
 
 
