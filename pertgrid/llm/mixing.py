@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 #: The largest multiple of its size that a source or document is repeated.
 MAX_COPIES = 3
 #: Bins of the Pareto rank per source.
-RANK_BINS = 16384
+RANK_BINS = 2048
 _RANDOM_BITS = 52
 
 
