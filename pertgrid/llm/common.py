@@ -39,3 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def narrowed(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int = 27) -> DataFrame:
+    """Rows of ``df`` whose key may be among the one column of ``wanted``: all that are, and a few others.
+
+    A bit table over hashes of the wanted keys is broadcast: eight bits a key, at most 2 ** ``max_bits`` of them (16 MB)
+    however many keys there are.  It keeps most other rows out of the shuffle of the exact join that follows.  When the
+    table is too small for the keys it lets more rows through, and nothing is lost.
+    """
+    n = wanted.count()
+    bits = min(max_bits, max(16, (8 * max(1, n)).bit_length()))
+    bit = _bit(F.col(wanted.columns[0]), bits)
+    table = (
+        wanted.select(bit.alias("bit"))
+        .groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    )
+    own = df.withColumn("_key_bit", _bit(key, bits)).withColumn("_bucket", F.bitmap_bucket_number("_key_bit"))
+    place = F.bitmap_bit_position("_key_bit")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = own.join(F.broadcast(table), "_bucket").where(F.call_function("getbit", byte, (place % 8).cast("int")) == 1)
+    return met.select(df.columns)

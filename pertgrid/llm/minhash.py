@@ -11,7 +11,8 @@ nothing further.  Coordinates are cut into BANDS bands.  In a first pass the mem
 are paired with its smallest member only.  After these links are verified and components found, only
 buckets that still hold several components are left; there all pairs of different components are
 compared by their sketches, in blocks of bounded size when the bucket is large.  So a bucket of thousands of
-copies costs one pair for each, while no link between two components is left out.
+copies costs few pairs for each, while no link between two components is left out: in large buckets the most
+similar pairs are verified first, as these links mostly join what is left.
 
 Verification.  Each candidate pair is confirmed on the full shingle sets, streamed in groups by the pair's
 smaller member: a task holds one set and the texts of one Arrow batch.
@@ -25,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import narrowed, stored
 
 SHINGLE = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -36,8 +37,14 @@ PERCENT = 75
 COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
 #: Equal two-bit coordinates, of COORDS, that a pair needs to be verified.  At the threshold their mean is
-#: 104 and their standard deviation 4.4; this is 4.8 of them below.
-MIN_AGREE = 83
+#: 104 and their standard deviation 4.4; this is 4.3 of them below.
+MIN_AGREE = 85
+#: Coordinates, a byte of each, of the finer sketches of documents in large buckets, and equal ones that a pair needs: at the
+#: threshold 384 on average with a standard deviation of 9.8.
+FINE, FINE_AGREE = 512, 342
+#: Candidates of each document in each block that are verified first in large buckets; afterwards all that are left between
+#: the components are.
+BEST = 3
 #: Members from which an open bucket is compared in blocks, and the size of these.
 SMALL_BUCKET, BLOCK = 48, 512
 #: Parts into which the members of one centre are dealt for verification.
@@ -69,22 +76,22 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of COORDS 64-bit coordinates for each non-empty set."""
+def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
+    """One row of ``coords`` (a power of two) 64-bit coordinates for each non-empty set."""
     sizes = np.array([len(s) for s in sets])
     keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    out = np.full(len(sets) * COORDS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(2 * COORDS):
-        h = _mix(keys + np.uint64(i + 1) * _SEED)
-        bins = (h >> np.uint64(57)).astype(np.int64) if i < COORDS else np.int64(i - COORDS)
-        value = (np.uint64(i) << np.uint64(56)) | (_mix(h) >> np.uint64(8))
-        np.minimum.at(out, owner * COORDS + bins, value)
-        full = (out.reshape(-1, COORDS) != np.iinfo(np.uint64).max).all(axis=1)
-        left = ~full[owner]
+    empty, shift = np.iinfo(np.uint64).max, np.uint64(65 - coords.bit_length())
+    out = np.full(len(sets) * coords, empty, np.uint64)
+    for i in range(2 * coords):
+        h = _mix(keys + np.uint64((i + 1) * int(_SEED) & (2**64 - 1)))
+        bins = (h >> shift).astype(np.int64) if i < coords else np.int64(i - coords)
+        value = (np.uint64(i) << np.uint64(52)) | (_mix(h) >> np.uint64(12))
+        np.minimum.at(out, owner * coords + bins, value)
+        left = ~(out.reshape(-1, coords) != empty).all(axis=1)[owner]
         if not left.any():
             break
         keys, owner = keys[left], owner[left]
-    return out.reshape(-1, COORDS)
+    return out.reshape(-1, coords)
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +132,24 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sketch_batches, "doc_id long, n_shingles long, print binary, bands array<long>, p0 long, p1 long, p2 long, p3 long")
 
 
+def _fine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        for at in range(0, len(ids), 64):
+            sets = [shingles(t.as_py()) for t in texts[at : at + 64]]
+            keep = pa.array([len(x) > 0 for x in sets])
+            some = [x for x in sets if len(x)]
+            rows = (_mix(sketches(some, FINE)) & np.uint64(255)).astype(np.uint8) if some else []
+            yield pa.RecordBatch.from_arrays([ids[at : at + 64].filter(keep), pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "fine"])
+
+
+def _with_fine(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the finer sketch of each document."""
+    ids = rows.select("doc_id").distinct()
+    fine = stored(narrowed(texts, F.col("doc_id"), ids).select("doc_id", "text").mapInArrow(_fine_batches, "doc_id long, fine binary"), "fine-sketches")
+    return rows.join(fine, "doc_id")
+
+
 def _agree(a: str, b: str) -> Column:
     """Enough equal two-bit coordinates, and sizes that allow the similarity."""
     differ = sum(
@@ -154,9 +179,11 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough.  ``docs`` has one row per doc_id."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    docs = narrowed(docs, F.col("doc_id"), ids)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    members = salted.join(docs, F.col("b") == F.col("doc_id")).select("a", "b", "text", "salt")
-    centres = salted.select("a", "salt").distinct().join(docs, F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("long").alias("b"), "text", "salt")
+    members = salted.join(docs.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "text", "salt")
+    centres = salted.select("a", "salt").distinct().join(docs.hint("merge"), F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("long").alias("b"), "text", "salt")
     dealt = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.select("a", "b", "text").mapInArrow(_verify_batches, "a long, b long")
 
@@ -168,34 +195,41 @@ def components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder.
     """
     current = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
-    before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         current = stored(small, "components")
-        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # stars: a node points at one other, or is pointed at
+        sides = current.select("u", F.lit(1).alias("out")).unionByName(current.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+        if sides.groupBy("u").agg(F.sum("out").alias("outs"), F.min("out").alias("least")).where("outs > 1 or (outs = 1 and least = 0)").isEmpty():
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
-
-
-def _open_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band, by their sketches similar enough."""
-    keep = ["doc_id", "component", "n_shingles", "p0", "p1", "p2", "p3"]
-    labelled = reps.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = labelled.select(*keep, F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 2 and lo <> hi").select("band", "members")
-    rows = stored(rows.join(buckets, "band"), "open-buckets")
-    small = rows.where(F.col("members") <= SMALL_BUCKET)
-    a, b = small.alias("a"), small.alias("b")
+
+
+_KEPT = ["doc_id", "component", "n_shingles", "p0", "p1", "p2", "p3"]
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of each doc_id, and only those whose bucket (band) holds several components."""
+    own = rows.drop("component", "members").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    buckets = own.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 2 and lo <> hi")
+    return own.join(buckets.select("band", "members"), "band")
+
+
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of different components in the small buckets, by their sketches similar enough."""
+    a, b = rows.alias("a"), rows.alias("b")
     differ = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & differ & _agree("a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & differ & _agree("a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+
 
-    ordered = rows.where(F.col("members") > SMALL_BUCKET).selectExpr("*", "row_number() over (partition by band order by component, doc_id) - 1 as place")
-    blocks = stored(ordered.withColumn("block", F.floor(F.col("place") / BLOCK)).drop("place", "members"), "open-blocks")
+def _block_pairs(rows: DataFrame, best: int | None) -> DataFrame:
+    """Pairs of different components in the large buckets: of every document the ``best`` most similar of each block
+    (all for None).  Blocks follow the components, and two blocks of one component do not meet."""
+    place = F.row_number().over(Window.partitionBy("band").orderBy("component", "doc_id")) - 1
+    blocks = stored(rows.withColumn("block", F.floor(place / BLOCK)).select("band", "block", *_KEPT, "fine"), "open-blocks")
     spans = blocks.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     x, y = spans.alias("x"), spans.alias("y")
     several = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
@@ -212,11 +246,62 @@ def _open_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
         good = (differ <= COORDS - MIN_AGREE) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT)
         good &= left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :]
         s, t = np.nonzero(good)
+        if len(s):
+            x = np.frombuffer(b"".join(left.fine), np.uint8).reshape(-1, FINE)
+            y = np.frombuffer(b"".join(right.fine), np.uint8).reshape(-1, FINE)
+            same = np.concatenate([(x[s[k : k + 4096]] == y[t[k : k + 4096]]).sum(axis=1) for k in range(0, len(s), 4096)])
+            good[s, t] = same >= FINE_AGREE
+            if best is not None:
+                cost = np.full(good.shape, FINE + 1)
+                cost[s, t] = np.where(same >= FINE_AGREE, FINE - same, FINE + 1)
+                first, second = np.zeros_like(good), np.zeros_like(good)
+                np.put_along_axis(first, np.argsort(cost, axis=1, kind="stable")[:, :best], True, axis=1)
+                np.put_along_axis(second, np.argsort(cost, axis=0, kind="stable")[:best], True, axis=0)
+                good &= first | second
+        s, t = np.nonzero(good)
         p, q = left.doc_id.to_numpy()[s], right.doc_id.to_numpy()[t]
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
 
-    large = blocks.join(sides, ["band", "block"]).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
-    return pairs.unionByName(large).distinct()
+    return blocks.join(sides, ["band", "block"]).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _closed(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components after further links."""
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
+def _linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the documents of different sets that links join."""
+    rows = reps.select("doc_id", F.explode("bands").alias("band"))
+    centres = stored(rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-bands")
+    shared = narrowed(rows, F.col("band"), centres.select("band")).join(centres, "band")
+    light = reps.drop("bands", "print")
+    shared = stored(shared.join(light, "doc_id"), "shared-rows")
+    stars = shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(light.alias("x"), F.col("a") == F.col("x.doc_id")).join(light.alias("y"), F.col("b") == F.col("y.doc_id")).where(_agree("x", "y")).select("a", "b")
+    tested = stored(stars, "star-pairs")
+    labels = components(stored(verify(tested, texts), "star-links"))
+
+    rows = stored(_relabelled(shared.where("members > 2").drop("a"), labels), "open-buckets")
+    large = rows.where(F.col("members") > SMALL_BUCKET)
+    pairs = _small_pairs(rows.where(F.col("members") <= SMALL_BUCKET))
+    any_large = not large.isEmpty()
+    if any_large:
+        large = stored(_with_fine(large, texts), "large-buckets")
+        best = stored(_block_pairs(large, BEST), "best-pairs")
+        pairs = pairs.unionByName(best).distinct()
+    fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), "open-pairs")
+    links = stored(verify(fresh, texts), "open-links")
+    labels = labels if links.isEmpty() else _closed(links, labels)
+    if any_large:
+        # a document without a candidate so far has none among fewer components either
+        again = best.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        left = stored(_relabelled(large.join(again, "doc_id", "left_semi"), labels), "left-buckets")
+        if not left.isEmpty():
+            fresh = stored(_block_pairs(left, None).join(tested.unionByName(fresh), ["a", "b"], "left_anti"), "left-pairs")
+            links = stored(verify(fresh, texts), "left-links")
+            labels = labels if links.isEmpty() else _closed(links, labels)
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,21 +316,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = all_sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(known.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep")), "set-classes")
     reps = stored(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    texts = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if not _unique(all_sketches) else docs.where(F.col("doc_id").isNotNull())
-
-    rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    centres = rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "a")
-    stars = rows.join(centres, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    light = reps.drop("bands", "print")
-    stars = stars.join(light.alias("x"), F.col("a") == F.col("x.doc_id")).join(light.alias("y"), F.col("b") == F.col("y.doc_id")).where(_agree("x", "y")).select("a", "b")
-    links = stored(verify(stored(stars, "star-pairs"), texts), "star-links")
-    labels = components(links)
-    more = stored(_open_pairs(reps, labels), "open-pairs")
-    if not more.isEmpty():
-        rest = stored(verify(more, texts), "open-links")
-        if not rest.isEmpty():
-            joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
-            labels = components(joined)
+    texts = docs.where(F.col("doc_id").isNotNull())
+    if not _unique(all_sketches):
+        texts = texts.dropDuplicates(["doc_id"])
+    labels = _linked(reps, texts)
 
     by_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("print", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     found = known.select("doc_id", "print", "n_shingles").join(by_class, ["print", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
