@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import expression, pooling
+from . import catalog, expression, pooling, transfer
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "expression", "pooling"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "expression", "pooling", "transfer"]
