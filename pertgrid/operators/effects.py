@@ -5,6 +5,8 @@ A profile is (group, gene_id, count or cpm); an effect relation is (target, gene
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,41 @@ def pair_scores(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
     return dots.join(ni, "i").join(nj, "j")
 
 
+def pair_scores_blocked(a: DataFrame, b: DataFrame, value: str = "value", block: int = 256) -> DataFrame:
+    """``pair_scores`` for many targets: vectors meet as blocks of about ``block`` targets, multiplied as matrices.
+
+    A target's vector (at most the gene axis) is one row; each goes to as many tasks as the other side has blocks.
+    """
+
+    def vectors(df: DataFrame, name: str) -> DataFrame:
+        v = df.groupBy(F.col("target").alias(name)).agg(F.collect_list(F.struct("gene_id", F.col(value).cast("double").alias("v"))).alias("e"))
+        n = v.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
+        return v.join(F.broadcast(n), how="cross").withColumn("block", F.pmod(F.xxhash64(name), F.col("blocks")).cast("int"))
+
+    x, y = vectors(a, "i"), vectors(b, "j")
+    bx, by = x.select(F.col("blocks").alias("bx")).limit(1), y.select(F.col("blocks").alias("by")).limit(1)
+    left = x.join(F.broadcast(by), how="cross").select(F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("q"), F.col("i").cast("long").alias("key"), F.lit(True).alias("is_left"), "e")
+    right = y.join(F.broadcast(bx), how="cross").select(F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("p"), F.col("block").alias("q"), F.col("j").cast("long").alias("key"), F.lit(False).alias("is_left"), "e")
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        axis = {g: k for k, g in enumerate(sorted({x["gene_id"] for e in pdf.e for x in e}))}
+
+        def matrix(part: pd.DataFrame) -> np.ndarray:
+            m = np.zeros((len(part), len(axis)))
+            for k, e in enumerate(part.e):
+                for x in e:
+                    m[k, axis[x["gene_id"]]] += x["v"]
+            return m
+
+        l, r = pdf[pdf.is_left], pdf[~pdf.is_left]  # noqa: E741
+        ml, mr = matrix(l), matrix(r)
+        nl, nr = np.linalg.norm(ml, axis=1), np.linalg.norm(mr, axis=1)
+        i, j = np.repeat(l.key.to_numpy(), len(r)), np.tile(r.key.to_numpy(), len(l))
+        return pd.DataFrame({"i": i, "j": j, "dot": (ml @ mr.T).ravel(), "norm_i": np.repeat(nl, len(r)), "norm_j": np.tile(nr, len(l))})
+
+    return left.unionByName(right).groupBy("p", "q").applyInPandas(multiply, "i long, j long, dot double, norm_i double, norm_j double")
+
+
 def cosine_of(dot: str, a: str, b: str, zero_norm: float | None = None) -> Column:
     return safe_divide(F.col(dot), F.col(a) * F.col(b), zero_norm)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import decoders, effects, metrics, moments, ranks, transfer
+from ..operators import decoders, effects, latent, metrics, moments, ranks, transfer
 from ..operators.pooling import row_totals
 from . import registry as R
 from .registry import query, r, sql
@@ -386,3 +386,17 @@ def principal_components(spark, d):
     e = R.table(spark, d, "embeddings")
     _, directions = moments.gram_eigen(e, "vec_id", "embedding", 8)
     return moments.project_components(e, "vec_id", "embedding", directions)
+
+
+@query("latent_components", None)
+def latent_components(spark, d):
+    """Scores of cells in a rank-2 Poisson-lognormal model of the module counts."""
+    v = latent.cell_vectors(R.modules(spark, d).where("row_id % 20 = 0"))
+    mu, w, _ = latent.fit(v, 60, 2, rounds=3)
+    return latent.cell_scores(v, mu, w)
+
+
+@query("cosine_blocked", sql("prediction", "truth", c=_SIM, body="SELECT i, j, round(s, 6) AS cosine FROM c"))
+def cosine_blocked(spark, d):
+    p = effects.pair_scores_blocked(R.prediction(spark, d), R.truth(spark, d), block=16)
+    return p.select("i", "j", r(effects.cosine_of("dot", "norm_i", "norm_j")).alias("cosine"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pertgrid.functions import scalar as S
-from pertgrid.operators import audits, catalog, de, decoders, effects, metrics, moments, pooling, ranks, resampling, sets, signatures, transfer
+from pertgrid.operators import audits, catalog, de, decoders, effects, latent, metrics, moments, pooling, ranks, resampling, sets, signatures, transfer
 from pertgrid.sources import readers, writers
 from pertgrid.streaming import incremental
 
@@ -305,3 +305,32 @@ def test_incremental_pooling(spark, tmp_path):
     incremental.run_available(incremental.shard_stream(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "out"), str(tmp_path / "ck"), ["target"])
     total = pooling.merge_shards(spark.read.parquet(str(tmp_path / "out")).drop("batch"), keys=["target"])
     assert rows(total, "target", "gene_id", "count") == [("a", 1, 106), ("b", 2, 30)]
+
+
+def test_latent_model_recovers_a_covariance(spark):
+    rng = np.random.default_rng(0)
+    p, n = 12, 400
+    w = np.zeros((p, 1))
+    w[:4, 0], w[4:8, 0] = 0.8, -0.8
+    rate = 600 / p * np.exp(rng.normal(size=(n, 1)) @ w.T)
+    y = rng.poisson(rate)
+    cells = spark.createDataFrame([(i, j, int(y[i, j])) for i in range(n) for j in range(p) if y[i, j]], "row_id int, gene_id int, count long")
+    v = latent.cell_vectors(cells).repartition(3).persist()
+    saved = []
+    mu, got, trace = latent.fit(v, p, 1, rounds=8, on_round=lambda k, m, x, value: saved.append((m, x)))
+    assert trace[-1] > trace[0] and len(saved) == len(trace)
+    assert abs(np.corrcoef((got @ got.T).ravel(), (w @ w.T).ravel())[0, 1]) > 0.9
+    again = latent.fit(v, p, 1, rounds=1, resume=saved[-1])[2][0]
+    assert again == pytest.approx(trace[-1])
+    assert latent.cell_scores(v, mu, got).count() == n
+    v.unpersist()
+
+
+def test_latent_helpers():
+    rng = np.random.default_rng(1)
+    w1, w2, d1, d2 = rng.normal(size=(7, 2)), rng.normal(size=(7, 3)), rng.random(7), rng.random(7)
+    dense = np.linalg.norm(w1 @ w1.T + np.diag(d1) - w2 @ w2.T - np.diag(d2)) ** 2
+    assert latent.covariance_distance(w1, d1, w2, d2) == pytest.approx(dense)
+    columns = latent.response_columns(w1, [2])
+    assert columns[2, 0] == -1 and columns[0, 0] == pytest.approx(-(w1[0] @ w1[2]) / (w1[2] @ w1[2]))
+    assert latent.permuted_loadings_p(lambda x: float(((x - w1) ** 2).sum()), w1, 19) == pytest.approx(1 / 20)
