@@ -24,8 +24,8 @@ from .common import stored
 #: 1: the word counts; 0: it is ignored.
 SEEDS = ("11110000111", "11011010011", "11101100101", "10110111001")
 SPAN = 11
-#: Bits of the table that goes to all tasks: 2 ** BITS, 2 MB.
-BITS = 24
+#: Bits of the table that goes to all tasks: 2 ** BITS, 2 MB; and bits that each hash sets in it.
+BITS, PROBES = 24, 2
 #: Equal words of an alignment that make a leak, as a share of the item and at least.
 MIN_SHARE, MIN_WORDS = 0.5, 8
 _MULT = np.uint64(0xD6E8FEB86659FD93)
@@ -65,8 +65,18 @@ def _item_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], names=["item_id", "hash", "item_at"])
 
 
-def _bit(hash_: Column) -> Column:
-    return F.shiftrightunsigned(hash_, 64 - BITS)
+def _bits(hash_: Column) -> Column:
+    """Places of a hash in the table, from one as Spark's bitmaps count them, by its highest bits and on downwards."""
+    return F.array(*[F.shiftrightunsigned(F.shiftleft(hash_, BITS * k), 64 - BITS) + 1 for k in range(PROBES)])
+
+
+def _possible(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose bits are all set."""
+    some = np.arange(len(h))
+    for k in range(PROBES):
+        bit = ((h[some] << np.uint64(BITS * k)) >> np.uint64(64 - BITS)).astype(np.int64)
+        some = some[(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0]
+    return some
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -79,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     places = stored(items.mapInArrow(_item_places, "item_id long, hash long, item_at int"), "benchmark-places")
-    bits = places.select(_bit(F.col("hash")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = places.select(F.explode(_bits(F.col("hash"))).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     table = np.zeros(1 << (BITS - 3), np.uint8)
     for row in bits.toLocalIterator():  # at most 2 ** BITS bits in all
         part = np.frombuffer(row.bits, np.uint8)
@@ -94,9 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = words(text.as_py())
                 at, found = [], []
                 for h in seed_hashes(ids):
-                    # bit positions count from one in the table
-                    bit = (h >> np.uint64(64 - BITS)).astype(np.int64) - 1
-                    some = np.nonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)[0]
+                    some = _possible(bits, h)
                     at.append(some)
                     found.append(h[some])
                 at, found = np.concatenate(at), np.concatenate(found)
