@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import stored, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, seed: int = 17, importance: str | None = None, rank_bin
     document at its border; no document is taken more than ``MAX_COPIES`` times.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("importance"))
+    sized = stored(sized, "mix-sizes")  # the texts are read once
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
     aims = targets(sums.select("source", "source_size"), weights).join(sums.select(F.col("source").alias("s"), "mass"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # one row per source; Spark broadcasts it only while it is below the session's threshold
