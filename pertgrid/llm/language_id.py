@@ -8,7 +8,6 @@ smallest sum wins.  The relative lead over the second smallest is the margin; a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,6 @@ LEVEL = 9
 #: Lead of the winner, as a share of the second smallest size, below which a document is rejected.
 MIN_MARGIN = 0.01
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
@@ -53,7 +51,7 @@ def _classifier(dictionaries: dict[str, bytes]):
 
     def classify(text: str | None) -> tuple[str, float, float]:
         """Language, score and margin."""
-        if text is None or not kinds or not _LETTER.search(text):
+        if text is None or not kinds or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0
         raw = text.lower().encode()
         sums = [0] * len(kinds)
