@@ -42,14 +42,17 @@ def _grams(docs: DataFrame, min_words: int) -> DataFrame:
         in_right = (i + 1 < m) & (here < right)
         return in_left | in_right | (m == 1)
 
+    lines = lines.withColumn("chosen", F.when(m >= 1, F.transform(F.sequence(F.lit(0), m - 1), selected)).otherwise(F.array().cast("array<boolean>")))
+
     def around(i: Column) -> Column:
-        return F.array(F.when(i >= 1, gram(i - 1, 3)), F.when(i + 2 < n, gram(i, 3)))
+        # the left extension of a fingerprint whose left neighbour is one too is that one's right extension
+        return F.array(F.when((i >= 1) & ~F.get("chosen", i - 1), gram(i - 1, 3)), F.when(i + 2 < n, gram(i, 3)))
 
-    positions = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), selected)).otherwise(F.array().cast("array<int>"))
+    positions = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.get("chosen", i))).otherwise(F.array().cast("array<int>"))
     long_lines = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", i) >= min_words), lambda i: gram(i, 1))
     wide = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.get("w", i) + F.get("w", i + 1) >= min_words)).otherwise(F.array().cast("array<int>"))
     found = F.concat(F.flatten(F.transform(positions, around)), F.transform(wide, lambda i: gram(i, 2)), long_lines)
-    return lines.select("doc_id", F.explode(F.array_distinct(F.filter(found, lambda g: g.isNotNull()))).alias("g")).select("doc_id", "g.*")
+    return lines.select("doc_id", F.explode(F.filter(found, lambda g: g.isNotNull())).alias("g")).select("doc_id", "g.*")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
