@@ -45,15 +45,13 @@ def _bit(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
-def narrowed(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int = 27) -> DataFrame:
-    """Rows of ``df`` whose key may be among the one column of ``wanted``: all that are, and a few others.
+def _marked(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int) -> DataFrame:
+    """``df`` with ``_maybe``: false only for rows whose key is surely not among the one column of ``wanted``.
 
     A bit table over hashes of the wanted keys is broadcast: eight bits a key, at most 2 ** ``max_bits`` of them (16 MB)
-    however many keys there are.  It keeps most other rows out of the shuffle of the exact join that follows.  When the
-    table is too small for the keys it lets more rows through, and nothing is lost.
+    however many keys there are.  When it is too small for the keys it marks more rows, and nothing is lost.
     """
-    n = wanted.count()
-    bits = min(max_bits, max(16, (8 * max(1, n)).bit_length()))
+    bits = min(max_bits, max(16, (8 * max(1, wanted.count())).bit_length()))
     bit = _bit(F.col(wanted.columns[0]), bits)
     table = (
         wanted.select(bit.alias("bit"))
@@ -63,5 +61,23 @@ def narrowed(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int = 27)
     own = df.withColumn("_key_bit", _bit(key, bits)).withColumn("_bucket", F.bitmap_bucket_number("_key_bit"))
     place = F.bitmap_bit_position("_key_bit")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = own.join(F.broadcast(table), "_bucket").where(F.call_function("getbit", byte, (place % 8).cast("int")) == 1)
-    return met.select(df.columns)
+    hit = F.call_function("getbit", byte, (place % 8).cast("int")) == 1
+    return own.join(F.broadcast(table), "_bucket", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False)))
+
+
+def narrowed(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int = 27) -> DataFrame:
+    """Rows of ``df`` whose key may be among the one column of ``wanted``: all that are, and a few others.
+
+    It keeps most other rows out of the shuffle of the exact join that follows.
+    """
+    return _marked(df, key, wanted, max_bits).where("_maybe").select(df.columns)
+
+
+def excluding(df: DataFrame, key: str, unwanted: DataFrame, max_bits: int = 27) -> DataFrame:
+    """Rows of ``df`` whose key is not among those of ``unwanted`` (one column of the same name); null keys stay.
+
+    Only rows that may have to go are shuffled for the exact join; the others pass where they are.
+    """
+    marked = _marked(df, F.col(key), unwanted, max_bits)
+    rest = marked.where("_maybe").select(df.columns).join(unwanted, key, "left_anti")
+    return marked.where("not _maybe").select(df.columns).unionByName(rest)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import excluding, stored
 
 #: 1: the word counts; 0: it is ignored.
 SEEDS = ("11110000111", "11011010011", "11101100101", "10110111001")
@@ -155,4 +155,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return excluding(docs, "doc_id", stored(leaks(docs, benchmark).select("doc_id").distinct(), "leaked"))
