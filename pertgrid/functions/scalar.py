@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from .. import config
 
+# Formats of labels (fixed values).
+CONTROL_LABEL = "Non-Targeting"
+CONTROL_PREFIX = "non-targeting"
+GUIDE_TARGET = r"^(.+?)_(?:P\d|ENST\d)"
+PROMOTER_MARK = r"_(P1P2|P1|P2)(?![0-9P])"
+BATCH_PREFIX = "Flex_"
+CLONE_SUFFIX = r" \(clone.*\)$"
+MITOCHONDRIAL_PREFIX = "MT-"
+TECHNICAL_GENE = "^(MT-|RPL|RPS)"
+KINASE_GENE = "^RPS6K"
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -80,20 +91,20 @@ def nullable_int(s: Column | str) -> Column:
     return F.nullif(F.trim(_c(s)), F.lit("")).try_cast("long")
 
 
-def guide_target(guide: Column | str, control: str = "Non-Targeting") -> Column:
+def guide_target(guide: Column | str, control: str = CONTROL_LABEL) -> Column:
     """Target of a guide label: of the first |-part what precedes _P<digit> or _ENST<digit>.
 
     Labels that begin with non-targeting are controls; other labels without the pattern give null.
     """
     guide = _c(guide)
     first = F.split(guide, r"\|")[0]
-    found = F.regexp_extract(first, r"^(.+?)_(?:P\d|ENST\d)", 1)
-    return F.when(F.lower(guide).startswith("non-targeting"), F.lit(control)).otherwise(F.nullif(found, F.lit("")))
+    found = F.regexp_extract(first, GUIDE_TARGET, 1)
+    return F.when(F.lower(guide).startswith(CONTROL_PREFIX), F.lit(control)).otherwise(F.nullif(found, F.lit("")))
 
 
 def promoter_class(guide: Column | str) -> Column:
     """Distinct P1P2, P1, P2 marks of a label, sorted and joined by +; null without any."""
-    marks = F.regexp_extract_all(_c(guide), F.lit(r"_(P1P2|P1|P2)(?![0-9P])"), F.lit(1))
+    marks = F.regexp_extract_all(_c(guide), F.lit(PROMOTER_MARK), F.lit(1))
     return F.nullif(F.array_join(F.array_sort(F.array_distinct(marks)), "+"), F.lit(""))
 
 
@@ -103,11 +114,11 @@ def population_part(label: Column | str, part: int = 1, parts: int = 4, sep: str
     return F.when(F.size(split) == parts, split[part])
 
 
-def batch_number(label: Column | str, prefix: str = "Flex_") -> Column:
+def batch_number(label: Column | str, prefix: str = BATCH_PREFIX) -> Column:
     return F.nullif(F.regexp_extract(_c(label), prefix + r"(\d)", 1), F.lit("")).cast("int")
 
 
-def strip_suffix(label: Column | str, pattern: str = r" \(clone.*\)$") -> Column:
+def strip_suffix(label: Column | str, pattern: str = CLONE_SUFFIX) -> Column:
     return F.regexp_replace(_c(label), pattern, "")
 
 
@@ -161,7 +172,7 @@ def evidence_tier(n: Column | str) -> Column:
 
 def is_technical(symbol: Column | str) -> Column:
     """Mitochondrial and ribosomal protein genes; kinases RPS6K are none."""
-    return _c(symbol).rlike("^(MT-|RPL|RPS)") & ~_c(symbol).rlike("^RPS6K")
+    return _c(symbol).rlike(TECHNICAL_GENE) & ~_c(symbol).rlike(KINASE_GENE)
 
 
 def interval_gap(chr_a, start_a, end_a, chr_b, start_b, end_b) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import safe_divide
+from ..functions.scalar import MITOCHONDRIAL_PREFIX, safe_divide
 from .ranks import midrank
 
 
@@ -20,7 +20,7 @@ def cell_quality(cells: DataFrame, genes: DataFrame, top: int = 20) -> DataFrame
     return r.groupBy("row_id").agg(
         total.cast("long").alias("total"), F.count_if(F.col("count") > 0).alias("n_genes"),
         safe_divide(F.sum(F.when(F.col("_r") <= top, F.col("count"))), total).alias("top_share"),
-        safe_divide(F.coalesce(F.sum(F.when(F.col("symbol").startswith("MT-"), F.col("count"))), F.lit(0)), total).alias("mito_share"),
+        safe_divide(F.coalesce(F.sum(F.when(F.col("symbol").startswith(MITOCHONDRIAL_PREFIX), F.col("count"))), F.lit(0)), total).alias("mito_share"),
         safe_divide(100.0 * F.count_if(F.col("count") == 1), total).alias("unseen_mass"),
     )
 
