@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrowed, stored
+from .common import excluding, narrowed, stored
 
 SHINGLE = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -143,11 +143,11 @@ def _fine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids[at : at + 64].filter(keep), pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "fine"])
 
 
-def _with_fine(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with the finer sketch of each document."""
+def _with_fine(rows: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rows`` with the finer sketch and all bands of each document."""
     ids = rows.select("doc_id").distinct()
     fine = stored(narrowed(texts, F.col("doc_id"), ids).select("doc_id", "text").mapInArrow(_fine_batches, "doc_id long, fine binary"), "fine-sketches")
-    return rows.join(fine, "doc_id")
+    return rows.join(fine.join(reps.select("doc_id", "bands"), "doc_id"), "doc_id")
 
 
 def _agree(a: str, b: str) -> Column:
@@ -211,10 +211,10 @@ def components(edges: DataFrame) -> DataFrame:
 _KEPT = ["doc_id", "component", "n_shingles", "p0", "p1", "p2", "p3"]
 
 
-def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` with the component of each doc_id, and only those whose bucket (band) holds several components."""
+def _relabelled(rows: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """``rows`` with the component of each doc_id, and only those whose bucket (band) holds several components and ``least`` members."""
     own = rows.drop("component", "members").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    buckets = own.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 2 and lo <> hi")
+    buckets = own.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("members") >= least) & (F.col("lo") != F.col("hi")))
     return own.join(buckets.select("band", "members"), "band")
 
 
@@ -227,9 +227,10 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
 
 def _block_pairs(rows: DataFrame, best: int | None) -> DataFrame:
     """Pairs of different components in the large buckets: of every document the ``best`` most similar of each block
-    (all for None).  Blocks follow the components, and two blocks of one component do not meet."""
+    (all for None).  Blocks follow the components, and two blocks of one component do not meet.  A pair that shares several
+    bands is met in the first of them alone."""
     place = F.row_number().over(Window.partitionBy("band").orderBy("component", "doc_id")) - 1
-    blocks = stored(rows.withColumn("block", F.floor(place / BLOCK)).select("band", "block", *_KEPT, "fine"), "open-blocks")
+    blocks = stored(rows.withColumn("block", F.floor(place / BLOCK)).select("band", "block", *_KEPT, "fine", "bands"), "open-blocks")
     spans = blocks.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     x, y = spans.alias("x"), spans.alias("y")
     several = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
@@ -249,7 +250,11 @@ def _block_pairs(rows: DataFrame, best: int | None) -> DataFrame:
         if len(s):
             x = np.frombuffer(b"".join(left.fine), np.uint8).reshape(-1, FINE)
             y = np.frombuffer(b"".join(right.fine), np.uint8).reshape(-1, FINE)
+            u, v = np.stack(left.bands.to_numpy()), np.stack(right.bands.to_numpy())
+            here = np.nonzero(u[0] == key[0])[0][0]
+            first_here = np.concatenate([~(u[s[k : k + 4096], :here] == v[t[k : k + 4096], :here]).any(axis=1) for k in range(0, len(s), 4096)])
             same = np.concatenate([(x[s[k : k + 4096]] == y[t[k : k + 4096]]).sum(axis=1) for k in range(0, len(s), 4096)])
+            same = np.where(first_here, same, 0)
             good[s, t] = same >= FINE_AGREE
             if best is not None:
                 cost = np.full(good.shape, FINE + 1)
@@ -282,12 +287,12 @@ def _linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     tested = stored(stars, "star-pairs")
     labels = components(stored(verify(tested, texts), "star-links"))
 
-    rows = stored(_relabelled(shared.where("members > 2").drop("a"), labels), "open-buckets")
+    rows = stored(_relabelled(shared.where("members > 2").drop("a"), labels, 3), "open-buckets")
     large = rows.where(F.col("members") > SMALL_BUCKET)
     pairs = _small_pairs(rows.where(F.col("members") <= SMALL_BUCKET))
     any_large = not large.isEmpty()
     if any_large:
-        large = stored(_with_fine(large, texts), "large-buckets")
+        large = stored(_with_fine(large, texts, reps), "large-buckets")
         best = stored(_block_pairs(large, BEST), "best-pairs")
         pairs = pairs.unionByName(best).distinct()
     fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), "open-pairs")
@@ -296,7 +301,7 @@ def _linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     if any_large:
         # a document without a candidate so far has none among fewer components either
         again = best.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        left = stored(_relabelled(large.join(again, "doc_id", "left_semi"), labels), "left-buckets")
+        left = stored(_relabelled(large.join(again, "doc_id", "left_semi"), labels, 2), "left-buckets")
         if not left.isEmpty():
             fresh = stored(_block_pairs(left, None).join(tested.unionByName(fresh), ["a", "b"], "left_anti"), "left-pairs")
             links = stored(verify(fresh, texts), "left-links")
@@ -333,5 +338,5 @@ def _unique(sketches: DataFrame) -> bool:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its group; a repeated row stays once per repetition."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-duplicates")
+    return excluding(docs, "doc_id", gone)
