@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import catalog, expression, pooling, transfer
+from . import catalog, expression, pooling, tables, transfer
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "expression", "pooling", "transfer"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "expression", "pooling", "tables", "transfer"]
