@@ -10,8 +10,10 @@ Spark's committer makes the write atomic and a lost task is repeated alone.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ BLOCK = 128
 #: Share of a block's differences that the packed width must hold.
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; a document is never cut.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 19
 END_ID = 1
 MAGIC = b"PFR1"
 _HEADER = struct.Struct("<4sIIQ")
@@ -36,6 +38,8 @@ SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, image binary"
 
 #: Distinct pieces whose ids a Python worker keeps.
 CACHE_PIECES = 1_000_000
+#: Seconds without a task after which a worker lets go of them.
+IDLE_S = 10
 #: Texts of these characters alone are cut into pieces here.  For them normalisation changes nothing but
 #: white space and case, one character at a time.  All other texts go to the tokenizer whole.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]*")
@@ -153,7 +157,10 @@ def decode_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library; each distinct piece is encoded once per ``CACHE_PIECES``."""
+    """Ids of texts by the tokenizers library, as bytes; each distinct piece is encoded once per ``CACHE_PIECES``.
+
+    Pieces that are cut here go through the same model without its normaliser and with a cut at white space alone.
+    """
 
     _of: dict[str, PieceEncoder] = {}
 
@@ -161,27 +168,45 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        bare = json.loads(self.tokenizer.to_str())
+        bytes_alone = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_alone]}}
+        self.model, self.pause = Tokenizer.from_str(json.dumps(bare)), None
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
         return cls._of.get(path) or cls._of.setdefault(path, cls(path))
 
-    def __call__(self, text: str) -> np.ndarray:
+    def begin(self) -> None:
+        if self.pause:
+            self.pause.cancel()
+
+    def drop(self) -> None:
+        self.ids = {}  # a text that is being encoded keeps the old one
+
+    def end(self) -> None:
+        """The next task of this worker finds the pieces; without one they go after ``IDLE_S`` seconds."""
+        self.pause = threading.Timer(IDLE_S, self.drop)
+        self.pause.daemon = True
+        self.pause.start()
+
+    def __call__(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _PIECE.findall(text.lower())
-        missing = list(set(pieces).difference(self.ids))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids, pieces = self.ids, _PIECE.findall(text.lower())
+        missing = list(set(pieces).difference(ids))
         if missing:
-            if len(self.ids) + len(missing) > CACHE_PIECES:
-                self.ids.clear()
+            if len(ids) + len(missing) > CACHE_PIECES:
+                ids = self.ids = {}
                 missing = list(set(pieces))
             # with white space between them the pieces stay the pieces of this one text
-            found = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
-            raw = np.array(found.ids, np.uint32).tobytes()
+            found = self.model.encode(" ".join(missing), add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(missing)))).tolist()
             for p, start, end in zip(missing, [0, *ends], ends, strict=False):
-                self.ids[p] = raw[start:end]
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), np.uint32)
+                ids[p] = raw[start:end]
+        return b"".join(map(ids.__getitem__, pieces))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
@@ -196,27 +221,30 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part, seq = PieceEncoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
-        ids, lengths, parts, total = [], [], [], 0
+        encode.begin()
+        ids, lengths, parts, total, end = [], [], [], 0, END_ID.to_bytes(4, "little")
 
         def closed() -> pa.RecordBatch:
-            image = encode_segment(ids, lengths, np.concatenate(parts))
+            image = encode_segment(ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64()), pa.array([image], pa.binary())],
                 names=["part", "seq", "n_docs", "n_tokens", "image"],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                x = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
-                ids.append(doc_id.as_py())
-                lengths.append(len(x))
-                parts.append(x)
-                total += len(x)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = encode(text.as_py() or "")
+                n = len(x) // 4 + 1
+                ids.append(doc_id)
+                lengths.append(n)
+                parts += (x, end)
+                total += n
                 if total >= SEGMENT_TOKENS:
                     yield closed()
                     ids, lengths, parts, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield closed()
+        encode.end()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
