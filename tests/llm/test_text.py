@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pertgrid.llm import chat_format, decontamination, language_id, license_scan
@@ -38,14 +39,17 @@ def test_language_id_edge_rows(spark):
 
 
 def brute_leaks(docs, items):
-    out = {}
+    number = {}
+    ids = lambda text: np.array([number.setdefault(w, len(number)) for w in (text or "").encode().lower().split()], np.int64)
+    benches, out = [(i, ids(t)) for i, t in items], {}
     for d, text in docs:
-        a = (text or "").encode().lower().split()
-        for i, bench in items:
-            b = (bench or "").encode().lower().split()
-            best = max((sum(x == y for x, y in zip(a[max(0, o) :], b[max(0, -o) :])) for o in range(-len(b) + 1, len(a))), default=0)
-            if len(b) >= decontamination.SPAN and best >= max(decontamination.MIN_WORDS, decontamination.MIN_SHARE * len(b)):
-                out[d, i] = best
+        a = ids(text)
+        for i, b in benches:
+            if len(b) >= decontamination.SPAN:
+                padded = np.pad(a, len(b) - 1, constant_values=-1)
+                best = int((np.lib.stride_tricks.sliding_window_view(padded, len(b)) == b).sum(axis=1).max()) if len(padded) >= len(b) else 0
+                if best >= max(decontamination.MIN_WORDS, decontamination.MIN_SHARE * len(b)):
+                    out[d, i] = best
     return out
 
 
