@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +85,82 @@ def empirical_p(nulls: DataFrame, observed: DataFrame, keys: list[str], value: s
     return joined.groupBy(*keys).agg(((1 + F.count_if(F.col("null_value") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
-def exact_sign_flip(differences: DataFrame, keys: list[str], item: str, value: str, limit: int = 16) -> DataFrame:
-    """Two-sided p of the mean under all 2^n sign vectors; keys of more than ``limit`` values raise nothing and give null."""
-    placed = differences.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(item)) - 1)
-    gathered = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_k") < limit, F.struct("_k", F.col(value).alias("v"))))).alias("vs"), F.count(F.lit(1)).alias("n"))
-    vectors = gathered.where(F.col("n") <= limit).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n")).cast("long") - 1)))
-    total = F.aggregate("vs", F.lit(0.0), lambda s, x: s + F.when((F.col("b") / F.pow(F.lit(2.0), x["_k"])).cast("long") % 2 == 1, -x["v"]).otherwise(x["v"]))
-    observed = F.aggregate("vs", F.lit(0.0), lambda s, x: s + x["v"])
-    tested = vectors.select(*keys, "n", (F.abs(total) >= F.abs(observed) - 1e-12).alias("hit"))
-    p = tested.groupBy(*keys).agg((F.count_if("hit") / F.count(F.lit(1))).alias("p"))
-    return gathered.select(*keys, "n").join(p, keys, "left")
+#: Values whose sign vectors are halved into two sorted lists (2 ** 20 sums each); vectors of further ones are walked through.
+_HALVED = 40
+#: Cells of half a count over scaled sums, and values that are walked through where that is too large.
+_CELLS, _WALKED = 1 << 26, 16
+
+
+def _signed_sums(v: np.ndarray) -> np.ndarray:
+    out = np.zeros(1)
+    for x in v:
+        out = np.concatenate([out - x, out + x])
+    return np.sort(out)
+
+
+def _flip_by_halves(v: np.ndarray) -> float:
+    """Meet in the middle: every sum of one half finds its partners in the sorted sums of the other."""
+    least = abs(v.sum()) - 1e-12 * max(1.0, np.abs(v).sum())
+    if least <= 0:
+        return 1.0
+    walked, rest = v[_HALVED:], v[:_HALVED]
+    a, b = _signed_sums(rest[::2]), _signed_sums(rest[1::2])
+    above = sum(int((len(b) - np.searchsorted(b, least - w - a)).sum()) for w in _signed_sums(walked))
+    return above / 2.0 ** (len(v) - 1)
+
+
+def _flip_by_counts(size: np.ndarray, least: int) -> float:
+    """Shares of all subset sums of the integers ``size``, in two halves; the signed sum is twice a subset's less the whole."""
+    halves = []
+    for part in (size[::2], size[1::2]):
+        h = np.ones(1)
+        for x in part:
+            wider = np.zeros(len(h) + x)
+            wider[: len(h)] = h / 2
+            wider[x:] += h / 2
+            h = wider
+        halves.append(h)
+    a, b = halves
+    tail = np.append(np.cumsum(b[::-1])[::-1], 0.0)
+    tail[0] = 1.0
+    places = np.clip((int(size.sum()) + least) // 2 - np.arange(len(a)), 0, len(b))
+    return min(1.0, 2 * float(a @ tail[places]))
+
+
+def sign_flip_p(values) -> float | None:
+    """Share of the 2^n sign vectors under which the sum is as far from 0 as it is, counted in whole; null with a null value.
+
+    Up to ``_HALVED`` values meet in the middle.  More are counted on the integers that they are multiples of (up to six
+    decimals), or, where there are none or their sum is too large, walked through; what neither can finish raises.
+    """
+    if values is None or any(x is None or x != x for x in values):
+        return None
+    v = np.asarray(values, float)
+    v = v[np.argsort(np.abs(v), kind="stable")]
+    if len(v) <= _HALVED:
+        return _flip_by_halves(v)
+    for scale in (10.0**k for k in range(7)):
+        whole = np.rint(v * scale)
+        if np.abs(v * scale - whole).max() <= 1e-6:
+            size = np.abs(whole).astype(np.int64)
+            size, least = size[size > 0], abs(int(whole.astype(np.int64).sum()))
+            if least == 0:
+                return 1.0
+            unit = int(np.gcd.reduce(size))
+            size, least = size // unit, least // unit
+            if size.sum() <= 2 * _CELLS:
+                return _flip_by_counts(size, least)
+            break
+    if len(v) > _HALVED + _WALKED:
+        raise ValueError(f"{len(v)} values without a common unit of at most {2 * _CELLS} in their sum: no exact p")
+    return _flip_by_halves(v)
+
+
+def exact_sign_flip(differences: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
+    """Two-sided p of the mean under all 2^n sign vectors, for keys of any size; a task holds the values of one key."""
+    gathered = differences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("v")))).alias("vs"), F.count(F.lit(1)).alias("n"))
+    p = F.pandas_udf(lambda vs: vs.map(sign_flip_p).astype("float64"), "double")
+    return gathered.select(*keys, "n", F.nanvl(p(F.col("vs.v")), F.lit(None)).alias("p"))
 
 
 def hypergeometric_overlap(population: int, marked: int, drawn: int) -> list[float]:

@@ -269,7 +269,7 @@ def empirical_p(spark, d):
 @query("exact_sign_flip", "WITH x AS (SELECT s_nationkey AS k, s_suppkey AS i, s_acctbal - 4000 AS v FROM supplier), g AS (SELECT k, list(v ORDER BY i) AS vs, count(*) AS n FROM x GROUP BY k HAVING count(*) <= 10), b AS (SELECT k, n, vs, unnest(range(CAST(pow(2, n) AS BIGINT))) AS b FROM g), t AS (SELECT k, n, abs(list_sum(list_transform(range(n), lambda j: CASE WHEN (b >> j) % 2 = 1 THEN -vs[j + 1] ELSE vs[j + 1] END))) >= abs(list_sum(vs)) - 1e-9 AS hit FROM b) SELECT k, n, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM t GROUP BY k, n")
 def exact_sign_flip(spark, d):
     x = R.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("i"), (F.col("s_acctbal") - 4000).alias("v"))
-    return resampling.exact_sign_flip(x, ["k"], "i", "v", limit=10).where("n <= 10").withColumn("p", r("p"))
+    return resampling.exact_sign_flip(x, ["k"], "i", "v").withColumn("p", r("p"))
 
 
 @query("set_comparison", sql("observations", body="SELECT coalesce(a.context, b.context) AS context, count(*) FILTER (a.gene IS NOT NULL AND b.gene IS NOT NULL) AS shared, count(*) FILTER (a.gene IS NULL) AS gained, count(*) FILTER (b.gene IS NULL) AS lost, round(count(*) FILTER (a.gene IS NOT NULL AND b.gene IS NOT NULL) / count(*), 6) AS jaccard FROM (SELECT context, gene FROM observations WHERE n_cells < 3) a FULL JOIN (SELECT context, gene FROM observations WHERE n_cells > 1) b ON a.context = b.context AND a.gene = b.gene GROUP BY 1"))

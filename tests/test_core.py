@@ -125,6 +125,22 @@ def test_sign_flip(spark):
     assert r.p == pytest.approx(2 / 8)
 
 
+def test_sign_flip_of_large_groups(spark, tmp_path):
+    from pertgrid.plans import QUERIES
+
+    cases = {"meet": (30, 9, 1.0), "count": (60, 22, 0.37), "walk": (42, 15, math.pi), "ties": (48, 24, 1.5)}
+    data = [(k, i, -v if i < minus else v) for k, (n, minus, v) in cases.items() for i in range(n)]
+    got = {r.k: r for r in resampling.exact_sign_flip(spark.createDataFrame(data, "k string, i int, v double"), ["k"], "i", "v").collect()}
+    for k, (n, minus, _) in cases.items():
+        far = sum(math.comb(n, x) for x in range(n + 1) if abs(n - 2 * x) >= abs(n - 2 * minus))
+        assert got[k].n == n and got[k].p == pytest.approx(far / 2**n, rel=1e-9)
+    rng = random.Random(3)
+    cents = np.array([rng.randrange(-4000, 6000) / 100 for _ in range(36)])
+    assert resampling._flip_by_counts(np.abs(np.rint(cents * 100)).astype(int), abs(round(cents.sum() * 100))) == pytest.approx(resampling.sign_flip_p(cents), rel=1e-9)
+    spark.createDataFrame([(i, i % 2, 4000.0 + rng.randrange(-99, 999) / 100) for i in range(90)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [(r.n, r.p is None) for r in QUERIES["exact_sign_flip"](spark, str(tmp_path)).collect()] == [(45, False)] * 2
+
+
 @pytest.mark.parametrize("rounding", [decoders.largest_remainder, decoders.systematic_rounding])
 def test_roundings_keep_totals(spark, rounding):
     rng = random.Random(4)
