@@ -3,7 +3,8 @@
 Labelled pages (bad or not) are counted per host.  Each level's rate is shrunk towards the level above it:
 host to registered domain to public suffix to all pages.  The strength of a level's beta prior is
 estimated from the spread of the rates at that level (method of moments, Kleinman 1973).  A page without a rule
-is blocked when the lower bound of its host's posterior rate is above ``BLOCK_RATE``.
+is blocked when the lower bound of its host's posterior rate is above ``BLOCK_RATE``.  A host without labels has no
+counts of its own, so its posterior is the prior that its domain, else its suffix, else all pages give.
 """
 
 from __future__ import annotations
@@ -56,15 +57,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def suffix_of(host: Column) -> Column:
     bare = F.regexp_replace(host, r":\d*$", "")
-    two = F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(bare, r"([^.]*)$", 1))
+    two = F.regexp_extract(bare, r"(?:^|\.)([^.]+\.[^.]+)$", 1)
+    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(bare, r"(?:^|\.)([^.]*)$", 1))
 
 
 def domain_of(host: Column) -> Column:
     """The suffix and the label before it; a host without such a label is its own domain."""
     bare = F.regexp_replace(host, r":\d*$", "")
-    three = F.regexp_extract(bare, r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    two = F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1)
+    three = F.regexp_extract(bare, r"(?:^|\.)([^.]+\.[^.]+\.[^.]+)$", 1)
+    two = F.regexp_extract(bare, r"(?:^|\.)([^.]+\.[^.]+)$", 1)
     return F.when(two.isin(*TWO_LABEL_SUFFIXES) & (three != ""), three).when(two != "", two).otherwise(bare)
 
 
@@ -83,12 +84,11 @@ def reputation(labelled: DataFrame) -> DataFrame:
     """``labelled`` (host, bad 0/1) to one row per host: n, bad, mean and lower bound of the posterior rate.
 
     The strengths of three levels are three numbers; they and the overall rate go through the driver.  A
-    null ``bad`` is no label.
+    null ``bad`` is no label; a host with no other has n = bad = 0, adds nothing to the strengths and gets its prior.
     """
     hosts = (
-        labelled.where(F.col("bad").isNotNull())
-        .groupBy("host")
-        .agg(F.sum("bad").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
+        labelled.groupBy("host")
+        .agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"))
         .withColumn("domain", domain_of(F.col("host")))
         .withColumn("suffix", suffix_of(F.col("host")))
     )
@@ -109,14 +109,15 @@ def reputation(labelled: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, ``rate`` and ``lower`` of its host (null without labels).
+    """One row per page: page_id, host, path, rule, verdict, ``rate`` and ``lower`` of its host.
 
     ``pages`` has page_id and url, ``labels`` page_id and bad (0/1).  A null url, or one without ``://``, has an
-    empty host and path.  A host without labelled pages is allowed: nothing speaks against it.  Repeated rows are
-    judged alike; repeated labels of a page count each.
+    empty host and path.  A host without labelled pages is judged by its registered domain, else suffix, else all
+    pages; without any labels all are allowed.  Repeated rows are judged alike; repeated labels of a page count each.
     """
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rep = reputation(judged.join(labels.select("page_id", "bad"), "page_id"))
+    labelled = judged.join(labels.select("page_id", "bad"), "page_id").select("host", "bad")
+    rep = reputation(labelled.unionByName(judged.select("host", F.lit(None).cast(labels.schema["bad"].dataType).alias("bad"))))
     fit = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("lower") > block_rate, "block").otherwise("allow")
     return fit.join(rep.select("host", "rate", "lower"), "host", "left").select(

@@ -142,3 +142,15 @@ def test_url_reputation(spark):
     assert len(got) == len(pages)
     assert all((r.verdict == "block") == r.host.startswith("spam") for r in got)
     assert all(r.lower < r.rate < 1 for r in got)
+
+
+def test_url_of_unlabelled_hosts(spark):
+    pages = [(k, f"http://h{k % 7}.{'worst.biz' if k % 2 else 'fine.org'}/p") for k in range(1400)]
+    new = ["http://new.worst.biz/", "http://new.fine.org/", "http://new.other.biz/", "http://new.other.org/", "http://new.other.info/", "http://worst.biz:80/"]
+    labels = [(k, k % 2) for k, _ in pages]
+    frame = spark.createDataFrame(pages + [(5000 + k, u) for k, u in enumerate(new)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(frame, spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert len(got) == len(pages) + len(new)
+    assert [got[5000 + k].verdict for k in range(6)] == ["block", "allow", "block", "allow", "block", "block"]
+    assert got[5004].rate == pytest.approx(0.5)  # of all pages: neither domain nor suffix has labels
+    assert all(got[k].verdict == ("block" if k % 2 else "allow") for k, _ in pages)
