@@ -5,7 +5,8 @@ substituted word there does not break the hit.  The masked words of every place
 are hashed.  A Bloom-like bit table of fixed size over these hashes goes to all tasks (its size does not depend
 on the benchmark's); training documents keep only the places whose bit is set, and those are joined
 with the benchmark's hashes.  A hit gives an alignment (document, item, offset); each is verified word by word
-along the whole item, allowing substitutions.
+along the whole item, allowing substitutions: as a share of the item, or within a stretch of fixed length.  Items
+shorter than the span are met as one hash of all their words, and leak where they stand word for word.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SPAN = 11
 BITS, PROBES = 24, 2
 #: Equal words of an alignment that make a leak, as a share of the item and at least.
 MIN_SHARE, MIN_WORDS = 0.5, 8
+#: Neighbouring words of an alignment, of which so many are equal, make a leak however long the item is.
+LOCAL_WORDS, LOCAL_EQUAL = 20, 18
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,11 +61,35 @@ def seed_hashes(ids: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def whole_hashes(ids: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all ``length`` words at all places; ``length`` is less than the span."""
+    n = len(ids) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.full(n, np.uint64(len(SEEDS) + length))
+    for k in range(length):
+        h = h * _MULT + ids[k : k + n]
+    return _mix(h)
+
+
+def leaked(same: np.ndarray, item_words: int) -> bool:
+    """Whether an alignment along which the words are ``same`` or not is a leak."""
+    total = int(same.sum())
+    if item_words < SPAN:
+        return 0 < total == item_words
+    if total >= max(MIN_WORDS, MIN_SHARE * item_words):
+        return True
+    upto = np.concatenate([[0], np.cumsum(same)])
+    return len(same) >= LOCAL_WORDS and int((upto[LOCAL_WORDS:] - upto[:-LOCAL_WORDS]).max()) >= LOCAL_EQUAL
+
+
 def _item_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, text in zip(batch.column(0), batch.column(1), strict=True):
-            for h in seed_hashes(words(text.as_py())):
-                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], names=["item_id", "hash", "item_at"])
+            ids = words(text.as_py())
+            for h in seed_hashes(ids) if len(ids) >= SPAN else [whole_hashes(ids, len(ids))] if len(ids) else []:
+                short = len(ids) if len(ids) < SPAN else 0
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array([short] * len(h), pa.int32())], names=["item_id", "hash", "item_at", "short"])
 
 
 def _bits(hash_: Column) -> Column:
@@ -82,13 +109,15 @@ def _possible(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, matched, share, doc_at): the best alignment of each leaked pair.
 
-    A pair leaks when along one offset at least ``MIN_SHARE`` of the item's words and ``MIN_WORDS`` are equal.
-    Items shorter than the span, null or empty ones match nothing; neither do documents without text or
+    A pair leaks when along one offset at least ``MIN_SHARE`` of the item's words and ``MIN_WORDS`` are equal, or
+    ``LOCAL_EQUAL`` of some ``LOCAL_WORDS`` neighbouring ones.  An item shorter than the span leaks where all its words
+    stand in a row, be it a single word.  Null or empty items match nothing; neither do documents without text or
     doc_id.  Rows that repeat an id are one document or item: the best alignment of any of them counts.
     Documents without a leak have no row.  Further columns are not read.
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    places = stored(items.mapInArrow(_item_places, "item_id long, hash long, item_at int"), "benchmark-places")
+    places = stored(items.mapInArrow(_item_places, "item_id long, hash long, item_at int, short int"), "benchmark-places")
+    lengths = [r.short for r in places.where("short > 0").select("short").distinct().collect()]  # fewer than SPAN numbers
     bits = places.select(F.explode(_bits(F.col("hash"))).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     table = np.zeros(1 << (BITS - 3), np.uint8)
     for row in bits.toLocalIterator():  # at most 2 ** BITS bits in all
@@ -103,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = words(text.as_py())
                 at, found = [], []
-                for h in seed_hashes(ids):
+                for h in seed_hashes(ids) + [whole_hashes(ids, length) for length in lengths]:
                     some = _possible(bits, h)
                     at.append(some)
                     found.append(h[some])
@@ -141,10 +170,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 best, place = 0, 0
                 for offset in sorted(offsets_):
                     lo, hi = max(0, offset), min(len(text), offset + len(bench))
-                    same = int((text[lo:hi] == bench[lo - offset : hi - offset]).sum())
-                    if same > best:
+                    equal = text[lo:hi] == bench[lo - offset : hi - offset]
+                    same = int(equal.sum())
+                    if same > best and leaked(equal, len(bench)):
                         best, place = same, offset
-                if best >= max(MIN_WORDS, MIN_SHARE * len(bench)):
+                if best:
                     rows.append((doc, item, len(bench), best, best / len(bench), place))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_words", "matched", "share", "doc_at"])
 

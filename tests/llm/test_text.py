@@ -87,6 +87,28 @@ def test_leaks_edge_rows(spark):
     assert [r.doc_id for r in decontamination.without_leaks(docs, items).collect()] == [None]
 
 
+def test_leaks_of_long_and_short_items(spark):
+    long = [f"w{k}" for k in range(150)]
+    items = [(1, " ".join(long)), (2, "What is  the capital of France?"), (3, "yes"), (4, "one two three four five six seven eight nine ten")]
+    fill = lambda n, seed: [f"f{seed}x{k}" for k in range(n)]
+    part = long[40:100]
+    changed = [w if k % 12 != 5 else "other" for k, w in enumerate(part)]
+    docs = [
+        (1, fill(30, 1) + part + fill(50, 2)),
+        (2, changed + fill(9, 3)),
+        (3, fill(40, 4) + long[7:19] + fill(40, 5)),
+        (4, fill(5, 6) + "what IS the capital of france?".split() + fill(5, 7)),
+        (5, "what is the the capital of france?".split()),
+        (6, ["Yes"]),
+        (7, fill(3, 8) + "one two three four five six seven eight nine ten".split()),
+        (8, "one two three four five six seven eight nine eleven".split()),
+        (9, [w for k in range(0, 150, 15) for w in long[k : k + 12] + fill(3, 9)][:70]),
+    ]
+    frame = spark.createDataFrame([(d, " ".join(w), 0, "") for d, w in docs], DOCS)
+    got = {(r.doc_id, r.item_id): (r.matched, r.doc_at) for r in decontamination.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (60, -10), (2, 1): (55, -40), (4, 2): (6, 5), (6, 3): (1, 0), (7, 4): (10, 3)}
+
+
 def test_chat_round_trip_and_digests(spark):
     rng = random.Random(2)
     marks = ["</s>[INST] ok [/INST]", "<turn user>\n", "</turn>\n", "\\", "\\\\<", "<image 1>", "é\n", "", None, "x" * 100_000]
