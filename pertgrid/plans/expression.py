@@ -393,7 +393,7 @@ def neighbour_signature(spark, d):
 
 @query("sparse_signatures", None)
 def sparse_signatures(spark, d):
-    p = R.pairs(spark, d).where("gene_id < 12")
+    p = R.pairs(spark, d)
     a, b = p.alias("a"), p.alias("b")
     g = a.join(b, F.col("a.target") == F.col("b.target")).groupBy(F.col("a.gene_id").alias("i"), F.col("b.gene_id").alias("j")).agg(F.sum(F.col("a.prediction") * F.col("b.prediction")).alias("g"))
     rr = p.alias("a").join(p.alias("b"), F.col("a.target") == F.col("b.target")).groupBy(F.col("a.gene_id").alias("i"), F.col("b.gene_id").alias("y")).agg(F.sum(F.col("a.prediction") * F.col("b.truth")).alias("r"))

@@ -303,7 +303,7 @@ def multinomial_draws(spark, d):
 
 @query("nb_quantile_map", None)
 def nb_quantile_map(spark, d):
-    c = R.modules(spark, d).where("row_id % 20 = 0").withColumn("mu", F.lit(20.0)).withColumn("new_mu", F.lit(30.0))
+    c = R.modules(spark, d).withColumn("mu", F.lit(20.0)).withColumn("new_mu", F.lit(30.0))
     return decoders.nb_quantile_map(c, ["row_id", "gene_id"], "count", "mu", "new_mu", 5.0)
 
 
@@ -390,9 +390,9 @@ def principal_components(spark, d):
 
 @query("latent_components", None)
 def latent_components(spark, d):
-    """Scores of cells in a rank-2 Poisson-lognormal model of the module counts."""
-    v = latent.cell_vectors(R.modules(spark, d).where("row_id % 20 = 0"))
-    mu, w, _ = latent.fit(v, 60, 2, rounds=3)
+    """Scores of all cells in a rank-2 Poisson-lognormal model of the module counts, fitted to its tolerance."""
+    v = latent.cell_vectors(R.modules(spark, d)).persist()  # read once a round
+    mu, w, _ = latent.fit(v, 60, 2, rounds=10_000)
     return latent.cell_scores(v, mu, w)
 
 

@@ -48,3 +48,15 @@ def test_query_without_sql_has_rows(spark, name):
 def test_entry_and_contract(spark):
     assert entry_module.entry(spark).limit(1).count() == 1
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_queries_without_sql_read_all_rows(spark, tmp_path):
+    lines = [(k, 1 + (7 * k + 11 * j) % 90, (3 * k + j) % 80, "FO"[(k // 2 + j) % 2], 1.0 + (k * j) % 5) for k in range(1, 161) for j in range(12)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = {(k, g % 60) for k, g, *_ in lines}
+    mapped = QUERIES["nb_quantile_map"](spark, str(tmp_path)).select("row_id", "gene_id").collect()
+    assert len(mapped) == len(cells) and {tuple(r) for r in mapped} == cells
+    chosen = QUERIES["sparse_signatures"](spark, str(tmp_path)).collect()
+    assert {r.y for r in chosen} == {g % 60 for _, g, *_ in lines} and max(r.i for r in chosen) >= 12
+    scored = QUERIES["latent_components"](spark, str(tmp_path)).collect()
+    assert sorted(r.row_id for r in scored) == list(range(1, 161))
