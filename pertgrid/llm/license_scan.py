@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 CONTAINMENT = 0.9
 #: Words of a block, and words from one block's start to the next one's.
 BLOCK_WORDS, BLOCK_STEP = 48, 24
@@ -110,6 +112,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contain
     last_word are null without a phrase.  ``score`` is 1 with a phrase, else the largest containment of a matched
     template, else 0.  Only doc_id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = {w for text, _ in templates for w in words(text)}
     if sum(len(words(t)) for t, _ in templates) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")

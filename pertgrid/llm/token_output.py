@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import bounded_batches, shared_folder
 
 BLOCK = 128
 #: Share of a block's differences that the packed width must hold.
@@ -36,14 +35,18 @@ MAGIC = b"PFR1"
 _HEADER = struct.Struct("<4sIIQ")
 SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, image binary"
 
-#: Distinct pieces whose ids a Python worker keeps.
-CACHE_PIECES = 1_000_000
-#: Seconds without a task after which a worker lets go of them.
-IDLE_S = 10
+#: Memory of the distinct pieces whose ids a Python worker keeps: by number, at some 170 bytes each with the table, and by
+#: the characters and bytes in them.  Longer pieces than the last number are not kept.
+CACHE_PIECES, CACHE_BYTES, PIECE_CHARS = 60_000, 4 << 20, 64
 #: Texts of these characters alone are cut into pieces here.  For them normalisation changes nothing but
 #: white space and case, one character at a time.  All other texts go to the tokenizer whole.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]*")
-#: The tokenizer's own cut into pieces, for lower-case text of these characters (a fixed value).
+#: The parts of a tokenizer's file that make its cut (fixed values).  Texts of a tokenizer with others go to it whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]}
+#: The same cut, for lower-case text of the characters above.
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}\xa0]+")
@@ -157,9 +160,11 @@ def decode_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, as bytes; each distinct piece is encoded once per ``CACHE_PIECES``.
+    """Ids of texts by the tokenizers library, as bytes; distinct pieces are encoded once, as far as the cache holds them.
 
-    Pieces that are cut here go through the same model without its normaliser and with a cut at white space alone.
+    Pieces that are cut here go through the same model without its normaliser and with a cut at white space alone.  This
+    holds for the tokenizers whose cut is the known one, without a prefix or other text of its own; all texts of others,
+    and texts that may hold an added token, go to the library whole.
     """
 
     _of: dict[str, PieceEncoder] = {}
@@ -167,46 +172,44 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-        bare = json.loads(self.tokenizer.to_str())
-        bytes_alone = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_alone]}}
-        self.model, self.pause = Tokenizer.from_str(json.dumps(bare)), None
+        self.tokenizer, self.ids, self.held = Tokenizer.from_file(path), {}, 0
+        kind = json.loads(self.tokenizer.to_str())
+        self.known = kind["normalizer"] == _NORMALIZER and kind["pre_tokenizer"] == _PRE_TOKENIZER
+        self.known &= not kind["truncation"] and not kind["padding"] and all(t["content"].startswith("<|") for t in kind["added_tokens"])
+        if self.known:
+            bare = kind | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTE_LEVEL]}}
+            self.model = Tokenizer.from_str(json.dumps(bare))
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
         return cls._of.get(path) or cls._of.setdefault(path, cls(path))
 
-    def begin(self) -> None:
-        if self.pause:
-            self.pause.cancel()
-
-    def drop(self) -> None:
-        self.ids = {}  # a text that is being encoded keeps the old one
-
-    def end(self) -> None:
-        """The next task of this worker finds the pieces; without one they go after ``IDLE_S`` seconds."""
-        self.pause = threading.Timer(IDLE_S, self.drop)
-        self.pause.daemon = True
-        self.pause.start()
-
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.known or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        ids, pieces = self.ids, _PIECE.findall(text.lower())
-        missing = list(set(pieces).difference(ids))
+        pieces = _PIECE.findall(text.lower())
+        missing = list(set(pieces).difference(self.ids))
+        own: dict[str, bytes] = {}
         if missing:
-            if len(ids) + len(missing) > CACHE_PIECES:
-                ids = self.ids = {}
-                missing = list(set(pieces))
             # with white space between them the pieces stay the pieces of this one text
             found = self.model.encode(" ".join(missing), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(missing)))).tolist()
-            for p, start, end in zip(missing, [0, *ends], ends, strict=False):
-                ids[p] = raw[start:end]
-        return b"".join(map(ids.__getitem__, pieces))
+            own = {p: raw[start:end] for p, start, end in zip(missing, [0, *ends], ends, strict=False)}
+        known = self.ids
+        out = b"".join([own[p] if p in own else known[p] for p in pieces]) if own else b"".join(map(known.__getitem__, pieces))
+        self._keep(own)
+        return out
+
+    def _keep(self, own: dict[str, bytes]) -> None:
+        kept = {p: x for p, x in own.items() if len(p) <= PIECE_CHARS}
+        size = sum(len(p) + len(x) for p, x in kept.items())
+        if len(self.ids) + len(kept) > CACHE_PIECES or self.held + size > CACHE_BYTES:
+            self.ids, self.held = {}, 0
+        if len(kept) <= CACHE_PIECES and size <= CACHE_BYTES:
+            self.ids.update(kept)
+            self.held += size
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
@@ -221,7 +224,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part, seq = PieceEncoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
-        encode.begin()
         ids, lengths, parts, total, end = [], [], [], 0, END_ID.to_bytes(4, "little")
 
         def closed() -> pa.RecordBatch:
@@ -244,8 +246,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
                     ids, lengths, parts, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield closed()
-        encode.end()
 
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
 

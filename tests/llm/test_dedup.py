@@ -68,6 +68,28 @@ def test_near_duplicates_edge_rows(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=str)
 
 
+def test_near_duplicates_of_repeated_ids_with_other_texts(spark):
+    rows = [(1, "z y x w v u", 1), (1, "a b c d e f", 1), (1, None, 1), (2, "a b c d e f", 1), (3, "z y x w v u", 1), (None, None, 1)]
+    want = [("1", 1, True), ("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 3, True), ("None", None, True)]
+    for parts in (1, 6):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()
+        assert sorted(((str(r.doc_id), r.component_id, r.kept) for r in got), key=str) == want
+
+
+def test_sketches_do_not_depend_on_their_parts(spark, monkeypatch):
+    texts = [prose(random.Random(k), 10 + 37 * k) for k in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, minhash.sketch(docs).collect()))
+    sets = [minhash.shingles(t) for t in texts]
+    whole = minhash.sketches(sets)
+    monkeypatch.setattr(minhash, "CHUNK", 64)
+    assert (minhash.sketches(sets) == whole).all()
+    monkeypatch.setattr(minhash, "TOGETHER", 500)
+    parts = list(minhash._in_parts([docs.toArrow().to_batches()[0]]))
+    assert len(parts) > 10 and sum(len(sets) for _, sets in parts) == 40
+    assert sorted(map(tuple, minhash.sketch(docs).collect())) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101)]
     random.Random(1).shuffle(edges)
