@@ -2,9 +2,9 @@
 
 A seed is a fixed mask over ``SPAN`` neighbouring words: the words where it has a 0 are ignored, so a
 substituted word there does not break the hit.  The masked words of every place of the benchmark items
-are hashed.  A Bloom-like bit table of fixed size over these hashes goes to all tasks (its size does not depend
-on the benchmark's); training documents keep only the places whose bit is set, and those are joined
-with the benchmark's hashes.  A hit gives an alignment (document, item, offset); each is verified word by word
+are hashed.  A Bloom-like bit table over these hashes goes to all tasks, sized by their number up to a bound;
+training documents keep only the hashes whose bits are set, and those are joined with the benchmark's, once for
+each document and item.  The equal hashes of such a pair give its alignments (offsets); each is verified word by word
 along the whole item, allowing substitutions: as a share of the item, or within a stretch of fixed length.  Items
 shorter than the span are met as one hash of all their words, and leak where they stand word for word.
 """
@@ -14,19 +14,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import excluding, stored
+from .common import bounded_batches, excluding, stored
 
 #: 1: the word counts; 0: it is ignored.
 SEEDS = ("11110000111", "11011010011", "11101100101", "10110111001")
 SPAN = 11
-#: Bits of the table that goes to all tasks: 2 ** BITS, 2 MB; and bits that each hash sets in it.
-BITS, PROBES = 24, 2
+#: Bits of the table that goes to all tasks: 2 ** MIN_BITS (2 MB) to 2 ** MAX_BITS (32 MB), at least BITS_PER_HASH for each hash
+#: while there is room; and bits that each hash sets in it.  A table that is too small lets more hashes through to the join.
+MIN_BITS, MAX_BITS, BITS_PER_HASH, PROBES = 24, 28, 256, 2
 #: Equal words of an alignment that make a leak, as a share of the item and at least.
 MIN_SHARE, MIN_WORDS = 0.5, 8
 #: Neighbouring words of an alignment, of which so many are equal, make a leak however long the item is.
@@ -83,29 +83,61 @@ def leaked(same: np.ndarray, item_words: int) -> bool:
     return len(same) >= LOCAL_WORDS and int((upto[LOCAL_WORDS:] - upto[:-LOCAL_WORDS]).max()) >= LOCAL_EQUAL
 
 
-def _item_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def item_hashes(ids: np.ndarray) -> list[np.ndarray]:
+    """The hashes of an item at all its places: by seed, or of all its words when they are fewer than the span."""
+    return seed_hashes(ids) if len(ids) >= SPAN else [whole_hashes(ids, len(ids))] if len(ids) else []
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for item, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = words(text.as_py())
-            for h in seed_hashes(ids) if len(ids) >= SPAN else [whole_hashes(ids, len(ids))] if len(ids) else []:
-                short = len(ids) if len(ids) < SPAN else 0
-                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array([short] * len(h), pa.int32())], names=["item_id", "hash", "item_at", "short"])
+        ids = [words(t.as_py()) for t in batch.column(1)]
+        found = [np.unique(np.concatenate([np.empty(0, np.uint64), *item_hashes(x)])).view(np.int64) for x in ids]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in ids], pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["item_id", "item", "hashes"])
 
 
-def _bits(hash_: Column) -> Column:
+def _bits(hash_: Column, bits: int) -> Column:
     """Places of a hash in the table, from one as Spark's bitmaps count them, by its highest bits and on downwards."""
-    return F.array(*[F.shiftrightunsigned(F.shiftleft(hash_, BITS * k), 64 - BITS) + 1 for k in range(PROBES)])
+    return F.array(*[F.shiftrightunsigned(F.shiftleft(hash_, bits * k), 64 - bits) + 1 for k in range(PROBES)])
 
 
 def _possible(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places of the hashes whose bits are all set."""
-    some = np.arange(len(h))
+    some, bits = np.arange(len(h)), (8 * len(table)).bit_length() - 1
     for k in range(PROBES):
-        bit = ((h[some] << np.uint64(BITS * k)) >> np.uint64(64 - BITS)).astype(np.int64)
+        bit = ((h[some] << np.uint64(bits * k)) >> np.uint64(64 - bits)).astype(np.int64)
         some = some[(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0]
     return some
 
 
+def offsets(text: np.ndarray, item: np.ndarray) -> list[int]:
+    """The offsets of ``item`` in ``text`` (hashes of words) along which a hash of both is equal."""
+    found: set[int] = set()
+    mine = seed_hashes(text) if len(item) >= SPAN else [whole_hashes(text, len(item))]
+    for own, theirs in zip(mine, item_hashes(item), strict=True):
+        order = np.argsort(own, kind="stable")
+        ranked = own[order]
+        for at, (lo, hi) in enumerate(zip(np.searchsorted(ranked, theirs), np.searchsorted(ranked, theirs, "right"), strict=True)):
+            found.update((order[lo:hi] - at).tolist())
+    return sorted(found)
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc, item_id, text, item in zip(*(batch.column(k) for k in range(4)), strict=True):
+            text, item, best, place = text.values.to_numpy(), item.values.to_numpy(), 0, 0
+            for offset in offsets(text.view(np.uint64), item.view(np.uint64)):
+                lo, hi = max(0, offset), min(len(text), offset + len(item))
+                equal = text[lo:hi] == item[lo - offset : hi - offset]
+                same = int(equal.sum())
+                if same > best and leaked(equal, len(item)):
+                    best, place = same, offset
+            if best:
+                rows.append((doc.as_py(), item_id.as_py(), len(item), best, best / len(item), place))
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "item_words", "matched", "share", "doc_at"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, matched, share, doc_at): the best alignment of each leaked pair.
 
@@ -115,12 +147,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id.  Rows that repeat an id are one document or item: the best alignment of any of them counts.
     Documents without a leak have no row.  Further columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    places = stored(items.mapInArrow(_item_places, "item_id long, hash long, item_at int, short int"), "benchmark-places")
-    lengths = [r.short for r in places.where("short > 0").select("short").distinct().collect()]  # fewer than SPAN numbers
-    bits = places.select(F.explode(_bits(F.col("hash"))).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    table = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in bits.toLocalIterator():  # at most 2 ** BITS bits in all
+    items = stored(items.mapInArrow(_item_rows, "item_id long, item array<long>, hashes array<long>").withColumn("variant", F.xxhash64("item")), "benchmark-items")
+    places = items.select("item_id", "variant", F.explode("hashes").alias("hash"))
+    hashes = places.select("hash").distinct()
+    lengths = [r.n for r in items.where(F.size("item").between(1, SPAN - 1)).select(F.size("item").alias("n")).distinct().collect()]  # fewer than SPAN numbers
+    n_bits = min(MAX_BITS, max(MIN_BITS, (BITS_PER_HASH * hashes.count()).bit_length()))
+    bits = hashes.select(F.explode(_bits(F.col("hash"), n_bits)).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    table = np.zeros(1 << (n_bits - 3), np.uint8)
+    for row in bits.toLocalIterator():  # at most 2 ** n_bits bits in all
         part = np.frombuffer(row.bits, np.uint8)
         table[(row.bucket - 1) * len(part) : row.bucket * len(part)] = part
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -131,54 +167,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = words(text.as_py())
-                at, found = [], []
-                for h in seed_hashes(ids) + [whole_hashes(ids, length) for length in lengths]:
-                    some = _possible(bits, h)
-                    at.append(some)
-                    found.append(h[some])
-                at, found = np.concatenate(at), np.concatenate(found)
-                if len(at):
-                    rows.append((doc.as_py(), ids.view(np.int64), at.astype(np.int32), found.view(np.int64)))
+                found = [h[_possible(bits, h)] for h in seed_hashes(ids) + [whole_hashes(ids, length) for length in lengths]]
+                found = np.unique(np.concatenate(found))
+                if len(found):
+                    rows.append((doc.as_py(), ids.view(np.int64), found.view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", "words", "at", "hash"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "words", "hashes"])
 
     wanted = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    hit = stored(wanted.mapInArrow(hits, "doc_id long, words array<long>, at array<int>, hash array<long>"), "seed-hits")
-    hit = hit.withColumn("row", F.xxhash64("words"))
-    alignments = (
-        hit.select("doc_id", "row", F.explode(F.arrays_zip("at", "hash")).alias("h"))
-        .select("doc_id", "row", F.col("h.at").alias("at"), F.col("h.hash").alias("hash"))
-        .join(places, "hash")
-        .select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("offset"))
-        .distinct()
-    )
-    offsets = alignments.groupBy("doc_id", "row", "item_id").agg(F.collect_set("offset").alias("offsets"))
-
-    def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["item_id", "item"])
-
-    candidates = offsets.join(hit.select("doc_id", "row", "words"), ["doc_id", "row"]).join(items.mapInArrow(item_words, "item_id long, item array<long>"), "item_id")
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, item, offsets_, text, bench in zip(pdf.doc_id, pdf.item_id, pdf.offsets, pdf["words"], pdf.item, strict=True):
-                best, place = 0, 0
-                for offset in sorted(offsets_):
-                    lo, hi = max(0, offset), min(len(text), offset + len(bench))
-                    equal = text[lo:hi] == bench[lo - offset : hi - offset]
-                    same = int(equal.sum())
-                    if same > best and leaked(equal, len(bench)):
-                        best, place = same, offset
-                if best:
-                    rows.append((doc, item, len(bench), best, best / len(bench), place))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_words", "matched", "share", "doc_at"])
-
-    confirmed = candidates.select("doc_id", "item_id", "offsets", "words", "item").mapInPandas(confirm, "doc_id long, item_id long, item_words long, matched long, share double, doc_at long")
+    hit = stored(wanted.mapInArrow(hits, "doc_id long, words array<long>, hashes array<long>").withColumn("row", F.xxhash64("words")), "seed-hits")
+    # one row for each document and item, however many hashes they share and however often these occur in either
+    pairs = hit.select("doc_id", "row", F.explode("hashes").alias("hash")).join(places, "hash").select("doc_id", "row", "item_id", "variant").distinct()
+    candidates = pairs.join(hit.select("doc_id", "row", "words").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).join(items.select("item_id", "variant", "item"), ["item_id", "variant"])
+    confirmed = candidates.select("doc_id", "item_id", "words", "item").mapInArrow(_confirm, "doc_id long, item_id long, item_words long, matched long, share double, doc_at long")
     best = F.max(F.struct("matched", (-F.col("doc_at")).alias("neg_at"), "item_words", "share")).alias("b")
     return confirmed.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.item_words").alias("item_words"), F.col("b.matched").alias("matched"), F.col("b.share").alias("share"), (-F.col("b.neg_at")).alias("doc_at"))
 

@@ -39,17 +39,30 @@ def test_language_id_edge_rows(spark):
 
 
 def brute_leaks(docs, items):
+    """By the definition of a leak alone, along all offsets of all pairs."""
     number = {}
     ids = lambda text: np.array([number.setdefault(w, len(number)) for w in (text or "").encode().lower().split()], np.int64)
     benches, out = [(i, ids(t)) for i, t in items], {}
     for d, text in docs:
         a = ids(text)
         for i, b in benches:
-            if len(b) >= decontamination.SPAN:
-                padded = np.pad(a, len(b) - 1, constant_values=-1)
-                best = int((np.lib.stride_tricks.sliding_window_view(padded, len(b)) == b).sum(axis=1).max()) if len(padded) >= len(b) else 0
-                if best >= max(decontamination.MIN_WORDS, decontamination.MIN_SHARE * len(b)):
-                    out[d, i] = best
+            n = len(b)
+            if not n:
+                continue
+            padded = np.pad(a, n - 1, constant_values=-1)
+            if len(padded) < n:
+                continue
+            same = np.lib.stride_tricks.sliding_window_view(padded, n) == b
+            total = same.sum(axis=1)
+            if n < decontamination.SPAN:
+                good = total == n
+            else:
+                good = total >= max(decontamination.MIN_WORDS, decontamination.MIN_SHARE * n)
+                if n >= decontamination.LOCAL_WORDS:
+                    stretch = np.lib.stride_tricks.sliding_window_view(same, decontamination.LOCAL_WORDS, axis=1).sum(axis=2)
+                    good |= stretch.max(axis=1) >= decontamination.LOCAL_EQUAL
+            if good.any():
+                out[d, i] = int(total[good].max())
     return out
 
 
@@ -59,7 +72,7 @@ def test_leaks_match_brute_force(spark):
     def prose(n):
         return [f"w{rng.randrange(3000)}" for _ in range(n)]
 
-    items = [(k, " ".join(prose(rng.randrange(14, 60)))) for k in range(30)] + [(50, None), (51, ""), (52, "too short"), (53, "x " * 30)]
+    items = [(k, " ".join(prose(rng.randrange(14, 60)))) for k in range(30)] + [(50, None), (51, ""), (52, "too short"), (53, "x " * 30), (54, "w1"), (55, "capital of w7 today")]
     docs = []
     for k in range(200):
         words = prose(rng.randrange(0, 300))
@@ -70,7 +83,7 @@ def test_leaks_match_brute_force(spark):
             at = rng.randrange(len(words) + 1)
             words[at:at] = leak
         docs.append((k, " ".join(words)))
-    docs += [(500, None), (501, ""), (502, "x " * 5000)]
+    docs += [(500, None), (501, ""), (502, "x " * 5000), (503, "is it too  SHORT"), (504, "too"), (505, "the capital of w7 today, the capital of w7 today"), (506, " ".join(prose(60_000)))]
     frame = spark.createDataFrame([(*d, 0, "") for d in docs], DOCS)
     got = decontamination.leaks(frame, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.matched for r in got.collect()} == brute_leaks(docs, items)
@@ -113,9 +126,10 @@ def test_chat_round_trip_and_digests(spark):
     rng = random.Random(2)
     marks = ["</s>[INST] ok [/INST]", "<turn user>\n", "</turn>\n", "\\", "\\\\<", "<image 1>", "é\n", "", None, "x" * 100_000]
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "<turn>"]), rng.choice(marks)) for c in (1, 2, None) for t in range(40)]
-    rows.append((3, 0, "user", None))
+    rows += [(3, 0, "user", None), (2, 7, "user", "again"), (2, 7, "user", "again")]
     turns = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, place int")
     found = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(turns)).collect()}
+    assert found == {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(turns), in_order=True).collect()}
     for conv in (1, 2, 3, None):
         own = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
         said = "".join(x for _, r, x in own if r == "assistant")
