@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pertgrid.llm import mixing, token_output, url_filter
 from pertgrid.llm.queries import tokenizer_path
@@ -32,10 +33,22 @@ def test_pieces_equal_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_piece_cache_limit(monkeypatch):
-    monkeypatch.setattr(token_output, "CACHE_PIECES", 5)
+@pytest.mark.parametrize("limits", [(5, 1 << 20, 64), (1000, 40, 64), (1000, 1 << 20, 4), (0, 0, 0)])
+def test_piece_cache_limits(monkeypatch, limits):
+    for name, value in zip(("CACHE_PIECES", "CACHE_BYTES", "PIECE_CHARS"), limits, strict=True):
+        monkeypatch.setattr(token_output, name, value)
     encode = token_output.PieceEncoder(tokenizer_path())
-    for text in ("one two three", "four five six one", "one two seven eight nine ten eleven"):
+    for text in ("one two three", "four five six one", "one two seven eight nine ten eleven", "", "one one two one"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encode.ids) <= limits[0] and sum(len(p) + len(x) for p, x in encode.ids.items()) == encode.held <= limits[1]
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    encode = token_output.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encode.known and token_output.PieceEncoder(tokenizer_path()).known
+    for text in ("Two  Words it's", "ÉA x1", " lead\n", ""):
         assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -95,6 +108,23 @@ def test_mix_hits_its_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in whole)
 
 
+def test_mixed_documents_are_the_mix(spark):
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randrange(0, 30), rng.choice(["a", "b", None])) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("mix_copies", "copies", "row", "s", "copy", "size", "fine", "border", "importance", "extra"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for bins in (mixing.RANK_BINS, 1, 3):
+        want = {r.doc_id: r.copies for r in mixing.mix(docs, rank_bins=bins).collect() if r.copies}
+        mixed = mixing.mixed_documents(docs, rank_bins=bins)
+        assert mixed.columns == docs.columns
+        found = {}
+        for r in mixed.collect():
+            assert (r.text, r.source) == rows[r.doc_id][1:] and r.mix_copies == f"mix_copies{r.doc_id}" and r.row == f"row{r.doc_id}"
+            found[r.doc_id] = found.get(r.doc_id, 0) + 1
+        assert found == want
+
+
 def test_mix_edge_rows(spark):
     schema = "doc_id long, text string, source string, size int, copies int, target string"
     assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
