@@ -15,8 +15,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that is fitted: documents per language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 3000, 1 << 18
+from .common import bounded_batches
+
+#: Bounds of the sample that is fitted: documents per language and bytes of a dictionary.  Whole documents fill a dictionary in
+#: the order of a hash of their doc_id; the one that does not fit any more is the last, cut after a character.
+SAMPLE_DOCS, DICTIONARY_BYTES = 200, 1 << 18
+#: Languages that are learned at most; a table with more is refused, as its column holds something else.
+MAX_LANGUAGES = 400
 PIECE_BYTES = 1024
 LEVEL = 9
 #: Lead of the winner, as a share of the second smallest size, below which a document is rejected.
@@ -25,19 +30,31 @@ UNDETERMINED = "und"
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from ``labelled`` (doc_id, text, lang): of each language the ``SAMPLE_DOCS`` documents that a hash
-    of doc_id puts first.  What comes to the driver is bounded by the three bounds times the number of languages.
-    Languages are in the order of their numbers of documents: it decides ties."""
-    known = labelled.where("lang is not null and text is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
-    texts = labelled.where("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("lang", "place", "text").collect()
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    """Dictionaries from ``labelled`` (doc_id, text, lang): of each language the documents that a hash of doc_id puts first,
+    ``SAMPLE_DOCS`` or as many as fill ``DICTIONARY_BYTES``.  What comes to the driver is bounded by these bytes times
+    ``MAX_LANGUAGES``; more languages raise.  Languages are in the order of their numbers of documents: it decides
+    ties.  Null texts and languages teach nothing; an empty table gives no dictionary.  Of rows that repeat a doc_id each
+    counts, the smaller text first."""
+    known = labelled.where("lang is not null and text is not null")
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = known.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("content"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes", "content")
+    placed = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    upto = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = placed.withColumn("before", F.coalesce(F.sum(F.col("bytes") + 1).over(upto), F.lit(0))).where(F.col("before") < DICTIONARY_BYTES)
+    chosen = chosen.groupBy("doc_id", "lang", "bytes", "content").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    texts = known.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("content"), F.substring("text", 1, DICTIONARY_BYTES).alias("text"))
+    # at most SAMPLE_DOCS rows for each of MAX_LANGUAGES
+    picked = texts.join(F.broadcast(chosen), ["doc_id", "lang", "bytes", "content"]).dropDuplicates(["doc_id", "lang", "bytes", "content"])
+    samples: dict[str, list] = {}
+    for r in picked.select("lang", "place", "n", "text").collect():
+        samples.setdefault(r.lang, []).append((r.place, r.n, r.text.lower()))
     found: dict[str, bytes] = {}
-    for lang in sorted({r.lang for r in rows}, key=lambda x: (-counts[x], x)):
-        sample = "\n".join(r.text.lower() for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.place, r.text)))
-        found[lang] = sample.encode()[:DICTIONARY_BYTES]
+    for lang in sorted(samples, key=lambda x: (-counts[x], x)):
+        sample = "\n".join(text for _, n, text in sorted(samples[lang]) for _ in range(n))
+        found[lang] = sample.encode()[:DICTIONARY_BYTES].decode(errors="ignore").encode()
     return found
 
 
@@ -74,6 +91,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     not accepted.  ``score`` is margin / (margin + MIN_MARGIN): one half where rejection begins.  With a
     single dictionary all text belongs to it.  Only doc_id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     content = dict(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +119,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows of ``docs`` whose text is accepted, with all their columns; no row is moved between tasks."""
+    bounded_batches(docs.sparkSession)
     content = dict(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
