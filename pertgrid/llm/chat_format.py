@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TEXT, IMAGE, AUDIO, DOCUMENT = "text", "image", "audio", "document"
 #: Tokens in place of an attachment without a size of its own.
 DEFAULT_TOKENS = {IMAGE: 256, AUDIO: 150, DOCUMENT: 512}
@@ -102,6 +104,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     null role is an empty role.  Turns with equal numbers are ordered by role, then text; a null turn comes
     first.  Rows of a null conv_id form one conversation.  An empty table gives no rows; an unknown kind of part raises.
     """
+    bounded_batches(turns.sparkSession)
     plain = F.array(F.struct(F.lit(TEXT).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("tokens")))
     parts = F.coalesce(F.col("parts").cast(PART_SCHEMA), plain) if "parts" in turns.columns else plain
 
@@ -120,9 +123,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "role", "content").mapInArrow(run, FORMATTED_SCHEMA)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """Digests of the conversations, read from the formatted turns alone.
 
+    ``in_order``: the rows are those of ``format_conversations`` as it hands them on, so they need no shuffle; rows that were
+    written and read again do.
+
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.  Hashes and counts are carried
     from row to row; no conversation is held.
     """
@@ -152,7 +158,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _digests([row(conv, state)])
 
-    return _in_order(formatted.select("conv_id", "place", "formatted", "loss_start", "loss_end"), "place").select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(
+    rows = formatted.select("conv_id", "place", "formatted", "loss_start", "loss_end")
+    return (rows if in_order else _in_order(rows, "place")).select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 

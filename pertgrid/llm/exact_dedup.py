@@ -10,7 +10,7 @@ remaining digests, none of which is frequent, are shuffled in the ordinary way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -47,13 +47,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heavy = stored(heavy, "exact-heavy")
     split = rows.join(F.broadcast(heavy), "digest", "left")
     removed = split.where(F.col("group_size").isNotNull())
-    group = Window.partitionBy("digest")
-    rest = (
-        split.where(F.col("group_size").isNull())
-        .select("id", "digest", "len")
-        .withColumn("keep_id", F.min(best).over(group).getField("id"))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
+    rest = split.where(F.col("group_size").isNull()).select("id", "digest", "len")
+    # aggregated and joined back: a group below the support may still be larger than a task should hold
+    groups = rest.groupBy("digest").agg(F.min(best).getField("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = rest.join(groups, "digest")
     return removed.select("id", "digest", "keep_id", "group_size").unionByName(rest.select("id", "digest", "keep_id", "group_size")).select(
         F.col("id").alias(id_col),
         "keep_id",
