@@ -1,14 +1,16 @@
 """Line deduplication by winnowing over line hashes.
 
-A document is its sequence of lines.  Grams of two neighbouring lines are hashed, and of every window of
-two grams the smallest hash (the right one of equals) is selected.  Every run of three lines holds a full
-window, so all copies of a repeated run select the same fingerprint in it: none is missed.  A fingerprint
-is extended one line to the left and one to the right; the extended grams of all documents are joined with
-the first position (by doc_id, then line) where they occur.  Later positions that match are deleted;
-matched grams that overlap merge, so a match extends both ways as far as the lines agree.
-
-A run of three lines qualifies whatever its length; one or two lines qualify when they have ``MIN_WORDS``
-words, and then are windows of their own, all of them fingerprints.  Only one join partner, the first position, is used for each gram, so that a line which occurs in a
+A document is its sequence of lines.  In every window of ``WINDOW`` lines the line with the smallest hash (the right one of
+equals) is selected: a fingerprint.  All copies of a run of ``WINDOW`` lines select the same line of it, so a run of
+that length, the shortest that counts, is never missed (the guaranteed length k + w - 1 for fingerprints of k = 1 line
+and windows of w = 3).  One or two lines count as a run when they have ``MIN_WORDS`` words; such a run is a fingerprint itself.
+
+Fingerprints that occur once are dropped first: their windows never leave the task that holds the text.  The windows
+around the others are joined with the first position (by doc_id, then line) where the same lines stand, compared
+by 128 bits of hashes.  A later position is deleted; windows that match one line further on extend the match, to both sides
+as far as the lines agree, and overlapping matches merge.
+
+Only one join partner, the first position, is used for each window, so that a line which occurs in a
 third of all documents makes as many rows as it has positions and no pairs among them.
 """
 
@@ -17,49 +19,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import narrowed, stored, unused
+
 #: Words from which one or two repeated lines count as a run.
 MIN_WORDS = 50
+#: Lines of a window, and of the shortest run that counts whatever its words.
+WINDOW = 3
 
 
-def _grams(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, gram, start, size): the qualifying grams around the selected fingerprints of each document."""
+def _windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, windows) with, for each qualifying window, its ``print`` (the hash of its fingerprint), ``print_at``, ``size``,
+    ``start`` and the 128 bits ``g1``, ``g2`` of its lines."""
     lines = docs.select("doc_id", F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines")).select(
         "doc_id",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("k"),
         F.transform("lines", lambda x: F.size(F.split(F.trim(x), "[\\x20\\x09-\\x0D]+"))).alias("w"),
     )
     n = F.size("h")
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get("h", i - 1), F.get("h", i)))).otherwise(F.array().cast("array<bigint>"))
-    lines = lines.withColumn("pair", pairs)
-    m = F.size("pair")
 
-    def gram(start: Column, size: int) -> Column:
-        return F.struct(F.xxhash64(F.lit(size), *[F.get("h", start + k) for k in range(size)]).alias("gram"), start.cast("int").alias("start"), F.lit(size).alias("size"))
+    def window(start: Column, size: int) -> Column:
+        h, k = ([F.get(c, start + i) for i in range(size)] for c in "hk")
+        gram = F.xxhash64(F.lit(size), *h)
+        if size < WINDOW:
+            print_, at = gram, start
+        else:
+            right, middle = h[2] <= F.least(h[0], h[1]), h[1] <= h[0]
+            print_, at = F.least(*h), start + F.when(right, 2).when(middle, 1).otherwise(0)
+        return F.struct(print_.alias("print"), at.cast("int").alias("print_at"), F.lit(size).alias("size"), start.cast("int").alias("start"), gram.alias("g1"), F.xxhash64(F.lit(size), *k).alias("g2"))
 
-    def selected(i: Column) -> Column:
-        here, left, right = F.get("pair", i), F.get("pair", i - 1), F.get("pair", i + 1)
-        in_left = (i >= 1) & (here <= left)
-        in_right = (i + 1 < m) & (here < right)
-        return in_left | in_right | (m == 1)
+    def starts(size: int) -> Column:
+        return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
-    lines = lines.withColumn("chosen", F.when(m >= 1, F.transform(F.sequence(F.lit(0), m - 1), selected)).otherwise(F.array().cast("array<boolean>")))
+    one = F.filter(starts(1), lambda i: F.get("w", i) >= min_words)
+    two = F.filter(starts(2), lambda i: F.get("w", i) + F.get("w", i + 1) >= min_words)
+    found = F.concat(F.transform(starts(WINDOW), lambda i: window(i, WINDOW)), F.transform(two, lambda i: window(i, 2)), F.transform(one, lambda i: window(i, 1)))
+    return lines.select("doc_id", found.alias("windows"))
 
-    def around(i: Column) -> Column:
-        # the left extension of a fingerprint whose left neighbour is one too is that one's right extension
-        return F.array(F.when((i >= 1) & ~F.get("chosen", i - 1), gram(i - 1, 3)), F.when(i + 2 < n, gram(i, 3)))
 
-    positions = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.get("chosen", i))).otherwise(F.array().cast("array<int>"))
-    long_lines = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", i) >= min_words), lambda i: gram(i, 1))
-    wide = F.when(m >= 1, F.filter(F.sequence(F.lit(0), m - 1), lambda i: F.get("w", i) + F.get("w", i + 1) >= min_words)).otherwise(F.array().cast("array<int>"))
-    found = F.concat(F.flatten(F.transform(positions, around)), F.transform(wide, lambda i: gram(i, 2)), long_lines)
-    return lines.select("doc_id", F.explode(F.filter(found, lambda g: g.isNotNull())).alias("g")).select("doc_id", "g.*")
+def _candidates(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, size, start, g1, g2) of the windows whose fingerprint may occur at several positions."""
+    windows = _windows(docs, min_words)
+    # neighbouring windows that select the same line have one fingerprint
+    prints = windows.select("doc_id", F.explode(F.array_distinct(F.transform("windows", lambda x: F.struct(x["print"].alias("print"), x["print_at"].alias("at"), (x["size"] == WINDOW).alias("selected"))))).alias("p"))
+    repeated = stored(prints.groupBy("p.print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "repeated-lines")
+    rows = windows.select("doc_id", F.explode("windows").alias("x")).select("doc_id", "x.print", "x.size", "x.start", "x.g1", "x.g2")
+    return stored(narrowed(rows, F.col("print"), repeated).drop("print"), "line-windows")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, spans): for documents with deleted lines, the (start, size) of every later copy of a gram."""
-    grams = _grams(docs.where(F.col("doc_id").isNotNull()), min_words)
-    first = grams.groupBy("gram", "size").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = grams.join(first, ["gram", "size"]).where(
+    """(doc_id, spans): for documents with deleted lines, the (start, size) of every later copy of a window."""
+    windows = _candidates(docs.where(F.col("doc_id").isNotNull()), min_words)
+    first = windows.groupBy("g1", "g2", "size").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, ["g1", "g2", "size"]).where(
         (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + F.col("size"))
     )
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
@@ -71,17 +83,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Every row stays, also one whose lines all go (its text becomes empty).  A null text has no lines and stays
     null; an empty text is one empty line.  Rows with a null doc_id neither lose lines nor take part.  Rows
     that repeat a doc_id are copies of one document: each keeps what is first.  A run that repeats within a
-    document loses its later copies that do not overlap the first.  Extra columns are handed on.
+    document loses its later copies that do not overlap the first.  Extra columns are handed on; columns of ``docs`` that
+    are named n_lines or n_removed are replaced.
     """
-    spans = repeated_spans(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("span_doc"), F.col("spans").alias("deleted_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("span_doc"), "left").drop("span_doc")
+    docs = docs.drop("n_lines", "n_removed")
+    of, spans, gone = unused(docs, "span_doc", "deleted_spans", "deleted_lines")
+    found = repeated_spans(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias(of), F.col("spans").alias(spans))
+    joined = docs.join(found, F.col("doc_id") == F.col(of), "left").drop(of)
     lines = F.split(F.col("text"), "\n")
-    gone = F.flatten(F.transform("deleted_spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
-    joined = joined.withColumn("deleted_lines", F.when(F.col("deleted_spans").isNotNull(), F.array_distinct(gone)))
-    keep = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted_lines")), lambda i: F.get(lines, i))
+    places = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
+    joined = joined.withColumn(gone, F.when(F.col(spans).isNotNull(), F.array_distinct(places)))
+    keep = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     return (
         joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("deleted_lines").isNull(), 0).otherwise(F.size("deleted_lines")).cast("long"))
-        .withColumn("text", F.when(F.col("deleted_lines").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
-        .drop("deleted_spans", "deleted_lines")
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
+        .drop(spans, gone)
     )

@@ -154,3 +154,20 @@ def test_line_dedup_edge_rows(spark):
     rows = [(None, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "a\nb\nc"), ("1", "a\nb\nc"), ("2", ""), ("None", "a\nb\nc")]
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["span_doc", "deleted_spans", "deleted_lines", "print", "start", "h", "n_lines"]
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "x\na\nb\nc")], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb\nc", *names[:-1], 3, 0), (2, "x", *names[:-1], 4, 3)]
+
+
+def test_windows_of_single_lines_stay_in_their_task(spark):
+    rng = random.Random(2)
+    rows = [(k, "\n".join(prose(rng, 5, 10**6) for _ in range(20))) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup._windows(docs, 50).selectExpr("sum(size(windows))").first()[0] == 305 * 18
+    assert 2 * 5 * 18 <= line_dedup._candidates(docs, 50).count() < 2 * 5 * 18 + 400
