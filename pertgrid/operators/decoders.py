@@ -160,10 +160,16 @@ def nb_quantile_map(df: DataFrame, keys: list[str], count: str, mu: str, new_mu:
 
 
 def shifted_counts(cells: DataFrame, delta: DataFrame, depth_cap: float) -> DataFrame:
-    """rint(clip(CPM + delta, 0) * min(total, cap) / 1e6), half to even."""
-    row = Window.partitionBy("row_id")
-    total = F.sum("count").over(row)
-    joined = cells.withColumn("total", total).join(delta.select("gene_id", F.col("value").alias("d")), "gene_id", "left").na.fill(0.0, ["d"])
+    """rint(clip(CPM + delta, 0) * min(total, cap) / 1e6), half to even, for every gene of a row with counts.
+
+    Genes absent from a row gain counts where their delta is large enough: ``delta`` has one row per gene, and those that can
+    reach half a count at the largest depth are given to all rows.
+    """
+    totals = cells.groupBy("row_id").agg(F.sum("count").alias("total")).where("total > 0")
+    gains = delta.where(F.col("value") * depth_cap / config.CPM_SCALE > 0.5).select("gene_id")
+    absent = totals.select("row_id").join(gains, how="cross").join(cells, ["row_id", "gene_id"], "left_anti").withColumn("count", F.lit(0).cast("long"))
+    rows = cells.select("row_id", "gene_id", "count").unionByName(absent).join(totals, "row_id")
+    joined = rows.join(delta.select("gene_id", F.col("value").alias("d")), "gene_id", "left").na.fill(0.0, ["d"])
     cpm = F.greatest(F.lit(0.0), F.col("count") * config.CPM_SCALE / F.col("total") + F.col("d"))
     return joined.select("row_id", "gene_id", F.rint(cpm * F.least(F.col("total").cast("double"), F.lit(depth_cap)) / config.CPM_SCALE).cast("long").alias("count")).where("count > 0")
 

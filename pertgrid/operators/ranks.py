@@ -64,12 +64,13 @@ def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], out: str = "p_adj
 
 
 def holm(df: DataFrame, p: str, keys: list[str], out: str = "p_holm", tie: str | None = None) -> DataFrame:
-    """Forward cumulative maximum of p * (m - rank + 1), at most 1."""
+    """Forward cumulative maximum of p * (m - rank + 1), at most 1; null p take no part and stay null."""
     order = [F.col(p).asc()] + ([F.col(tie).asc()] if tie else [])
+    known = F.col(p).isNotNull()
     m = F.count(F.col(p)).over(Window.partitionBy(*keys))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    upto = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.max(F.col(p) * (m - F.col("_rank") + 1)).over(upto))).drop("_rank")
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, known).orderBy(*order)))
+    upto = Window.partitionBy(*keys, known).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranked.withColumn(out, F.when(known, F.least(F.lit(1.0), F.max(F.col(p) * (m - F.col("_rank") + 1)).over(upto)))).drop("_rank")
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, keys: list[str]) -> DataFrame:

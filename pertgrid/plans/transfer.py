@@ -274,7 +274,7 @@ def stochastic_rounding(spark, d):
     return decoders.stochastic_rounding(_expected(spark, d), ["l_suppkey", "l_partkey"]).select("l_suppkey", "l_partkey", "rounded")
 
 
-@query("shifted_counts", sql("modules", x="SELECT row_id, gene_id, count, sum(count) OVER (PARTITION BY row_id) AS total, CASE WHEN gene_id < 30 THEN gene_id * 1000.0 - 15000 ELSE 0 END AS d FROM modules", y="SELECT row_id, gene_id, CAST(round_even(greatest(0, count * 1e6 / total + d) * least(total::DOUBLE, 100) / 1e6, 0) AS BIGINT) AS count FROM x", body="SELECT * FROM y WHERE count > 0"))
+@query("shifted_counts", sql("modules", x="SELECT t.row_id, g.gene_id, coalesce(m.count, 0) AS count, total, CASE WHEN g.gene_id < 30 THEN g.gene_id * 1000.0 - 15000 ELSE 0 END AS d FROM (SELECT row_id, sum(count) AS total FROM modules GROUP BY row_id) t CROSS JOIN (SELECT unnest(range(60)) AS gene_id) g LEFT JOIN modules m ON m.row_id = t.row_id AND m.gene_id = g.gene_id", y="SELECT row_id, gene_id, CAST(round_even(greatest(0, count * 1e6 / total + d) * least(total::DOUBLE, 100) / 1e6, 0) AS BIGINT) AS count FROM x", body="SELECT * FROM y WHERE count > 0"))
 def shifted_counts(spark, d):
     delta = spark.range(30).select(F.col("id").alias("gene_id"), (F.col("id") * 1000.0 - 15000).alias("value"))
     return decoders.shifted_counts(R.modules(spark, d), delta, 100.0)

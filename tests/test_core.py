@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pertgrid.functions import scalar as S
-from pertgrid.operators import audits, catalog, de, decoders, effects, latent, metrics, moments, pooling, ranks, resampling, sets, signatures, transfer
+from pertgrid.operators import audits, catalog, de, decoders, effects, latent, metrics, moments, pooling, ranks, resampling, selection, sets, signatures, transfer
 from pertgrid.sources import readers, writers
 from pertgrid.streaming import incremental
 
@@ -99,6 +99,8 @@ def test_multiplicity_ignores_nulls(spark):
     df = spark.createDataFrame([("k", i, x) for i, x in enumerate(p)], "k string, i int, p double")
     bh = [r.p_adj for r in ranks.benjamini_hochberg(df, "p", ["k"], tie="i").orderBy("i").collect()]
     assert bh[:4] == pytest.approx([0.02, 0.04, 0.04, 0.02]) and bh[4] is None
+    missing = spark.createDataFrame([("a", 1, 0.01), ("a", 2, 0.02), ("a", 3, None), ("a", 4, None)], "k string, i int, p double")
+    assert [r.p_holm for r in ranks.holm(missing, "p", ["k"], tie="i").orderBy("i").collect()] == [0.02, 0.02, None, None]
     hm = [r.p_holm for r in ranks.holm(df.where("p is not null"), "p", ["k"], tie="i").orderBy("i").collect()]
     assert hm == pytest.approx([0.03, 0.06, 0.06, 0.02])
 
@@ -350,3 +352,23 @@ def test_latent_helpers():
     columns = latent.response_columns(w1, [2])
     assert columns[2, 0] == -1 and columns[0, 0] == pytest.approx(-(w1[0] @ w1[2]) / (w1[2] @ w1[2]))
     assert latent.permuted_loadings_p(lambda x: float(((x - w1) ** 2).sum()), w1, 19) == pytest.approx(1 / 20)
+
+
+def test_shifted_counts_of_absent_genes(spark):
+    cells = spark.createDataFrame([(1, 0, 6), (1, 1, 4), (2, 0, 1000)], "row_id long, gene_id long, count long")
+    delta = spark.createDataFrame([(0, -700000.0), (2, 300000.0), (3, 40000.0), (1, 0.0)], "gene_id long, value double")
+    got = {(r.row_id, r.gene_id): r["count"] for r in decoders.shifted_counts(cells, delta, 100.0).collect()}
+    assert got == {(1, 1): 4, (1, 2): 3, (2, 0): 30, (2, 2): 30, (2, 3): 4}
+
+
+def test_selection_edges(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "i int, c string")
+    assert {(r.i, r.code) for r in selection.remapped(rows, "c").collect()} == {(1, 1), (2, None), (3, 0), (4, 1)}
+    values = spark.createDataFrame([("k", float("nan")), ("k", float("inf")), ("k", 1.0), ("k", 3.0), ("k", None)], "k string, v double")
+    assert tuple(selection.quantile_vector(values, "v", ["k"]).first()) == ("k", 1.0, 1.2, 1.5, 2.0, 2.5, 2.8, 3.0)
+    assert {(r.bin, r.n) for r in selection.log_histogram(spark.createDataFrame([(0.0,), (-1.0,), (1e-9,), (10.0,), (1e9,)], "v double"), "v", 0.0, 2.0).collect()} == {(0, 1), (50, 1), (99, 1)}
+    pairs = spark.createDataFrame([("t", 1.0, 2.0), ("t", -2.0, -4.0), ("u", 0.0, 1.0)], "g string, prediction double, truth double")
+    assert {tuple(r) for r in selection.absolute_scale(pairs, "g").collect()} == {("t", 2.0)} and selection.absolute_scale(pairs, "g", least=3).isEmpty()
+    found = selection.inventory(spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id int, ref string"), "id", {"ref": spark.createDataFrame([("x",)], "r string")})
+    assert {tuple(r) for r in found.collect()} == {("repeated id", 1), ("unresolved ref", 1)}
+    assert [r.s for r in spark.createDataFrame([(1.5,), (None,)], "v double").select(selection.markdown_float(F.col("v")).alias("s")).collect()] == ["1.500", "-"]
