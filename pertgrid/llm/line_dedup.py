@@ -28,8 +28,8 @@ WINDOW = 3
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, windows) with, for each qualifying window, its ``print`` (the hash of its fingerprint), ``print_at``, ``size``,
-    ``start`` and the 128 bits ``g1``, ``g2`` of its lines."""
+    """(doc_id, prints, windows): the hashes of the fingerprints, one for each selected line or wide window; and each
+    qualifying window with its ``print``, ``size``, ``start`` and the 128 bits ``g1``, ``g2`` of its lines."""
     lines = docs.select("doc_id", F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines")).select(
         "doc_id",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
@@ -41,29 +41,32 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     def window(start: Column, size: int) -> Column:
         h, k = ([F.get(c, start + i) for i in range(size)] for c in "hk")
         gram = F.xxhash64(F.lit(size), *h)
-        if size < WINDOW:
-            print_, at = gram, start
-        else:
-            right, middle = h[2] <= F.least(h[0], h[1]), h[1] <= h[0]
-            print_, at = F.least(*h), start + F.when(right, 2).when(middle, 1).otherwise(0)
-        return F.struct(print_.alias("print"), at.cast("int").alias("print_at"), F.lit(size).alias("size"), start.cast("int").alias("start"), gram.alias("g1"), F.xxhash64(F.lit(size), *k).alias("g2"))
+        print_ = gram if size < WINDOW else F.least(*h)
+        return F.struct(print_.alias("print"), F.lit(size).alias("size"), start.cast("int").alias("start"), gram.alias("g1"), F.xxhash64(F.lit(size), *k).alias("g2"))
+
+    def selected(start: Column) -> Column:
+        h = [F.get("h", start + i) for i in range(WINDOW)]
+        return start + F.when(h[2] <= F.least(h[0], h[1]), 2).when(h[1] <= h[0], 1).otherwise(0)
 
     def starts(size: int) -> Column:
         return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
     one = F.filter(starts(1), lambda i: F.get("w", i) >= min_words)
     two = F.filter(starts(2), lambda i: F.get("w", i) + F.get("w", i + 1) >= min_words)
-    found = F.concat(F.transform(starts(WINDOW), lambda i: window(i, WINDOW)), F.transform(two, lambda i: window(i, 2)), F.transform(one, lambda i: window(i, 1)))
-    return lines.select("doc_id", found.alias("windows"))
+    wide = F.concat(F.transform(two, lambda i: window(i, 2)), F.transform(one, lambda i: window(i, 1)))
+    # neighbouring windows that select the same line have one fingerprint; its place, a number, tells them apart
+    prints = F.transform(F.array_distinct(F.transform(starts(WINDOW), selected)), lambda i: F.get("h", i))
+    found = F.concat(F.transform(starts(WINDOW), lambda i: window(i, WINDOW)), wide)
+    return lines.select("doc_id", F.concat(prints, F.transform(wide, lambda x: x["print"])).alias("prints"), found.alias("windows"))
 
 
 def _candidates(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, size, start, g1, g2) of the windows whose fingerprint may occur at several positions."""
     windows = _windows(docs, min_words)
-    # neighbouring windows that select the same line have one fingerprint
-    prints = windows.select("doc_id", F.explode(F.array_distinct(F.transform("windows", lambda x: F.struct(x["print"].alias("print"), x["print_at"].alias("at"), (x["size"] == WINDOW).alias("selected"))))).alias("p"))
-    repeated = stored(prints.groupBy("p.print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "repeated-lines")
-    rows = windows.select("doc_id", F.explode("windows").alias("x")).select("doc_id", "x.print", "x.size", "x.start", "x.g1", "x.g2")
+    # explode_outer: for explode a filter on the array's size would go below the projections and compute all arrays anew for each line
+    prints = windows.select(F.explode_outer("prints").alias("print")).where("print is not null")
+    repeated = stored(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "repeated-lines")
+    rows = windows.select("doc_id", F.explode_outer("windows").alias("x")).where("x is not null").select("doc_id", "x.print", "x.size", "x.start", "x.g1", "x.g2")
     return stored(narrowed(rows, F.col("print"), repeated).drop("print"), "line-windows")
 
 
