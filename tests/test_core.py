@@ -365,7 +365,7 @@ def test_selection_edges(spark):
     rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "i int, c string")
     assert {(r.i, r.code) for r in selection.remapped(rows, "c").collect()} == {(1, 1), (2, None), (3, 0), (4, 1)}
     values = spark.createDataFrame([("k", float("nan")), ("k", float("inf")), ("k", 1.0), ("k", 3.0), ("k", None)], "k string, v double")
-    assert tuple(selection.quantile_vector(values, "v", ["k"]).first()) == ("k", 1.0, 1.2, 1.5, 2.0, 2.5, 2.8, 3.0)
+    assert tuple(selection.quantile_vector(values, "v", ["k"]).first())[1:] == pytest.approx((1.0, 1.2, 1.5, 2.0, 2.5, 2.8, 3.0))
     assert {(r.bin, r.n) for r in selection.log_histogram(spark.createDataFrame([(0.0,), (-1.0,), (1e-9,), (10.0,), (1e9,)], "v double"), "v", 0.0, 2.0).collect()} == {(0, 1), (50, 1), (99, 1)}
     pairs = spark.createDataFrame([("t", 1.0, 2.0), ("t", -2.0, -4.0), ("u", 0.0, 1.0)], "g string, prediction double, truth double")
     assert {tuple(r) for r in selection.absolute_scale(pairs, "g").collect()} == {("t", 2.0)} and selection.absolute_scale(pairs, "g", least=3).isEmpty()
