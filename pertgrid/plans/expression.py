@@ -266,7 +266,7 @@ def empirical_p(spark, d):
     return resampling.empirical_p(R.prediction(spark, d), observed, ["target"]).withColumn("p", r("p"))
 
 
-@query("exact_sign_flip", "WITH x AS (SELECT s_nationkey AS k, s_suppkey AS i, s_acctbal - 4000 AS v FROM supplier), g AS (SELECT k, list(v ORDER BY i) AS vs, count(*) AS n FROM x GROUP BY k HAVING count(*) <= 10), b AS (SELECT k, n, vs, unnest(range(CAST(pow(2, n) AS BIGINT))) AS b FROM g), t AS (SELECT k, n, abs(list_sum(list_transform(range(n), lambda j: CASE WHEN (b >> j) % 2 = 1 THEN -vs[j + 1] ELSE vs[j + 1] END))) >= abs(list_sum(vs)) - 1e-9 AS hit FROM b) SELECT k, n, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM t GROUP BY k, n")
+@query("exact_sign_flip", None)
 def exact_sign_flip(spark, d):
     x = R.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("i"), (F.col("s_acctbal") - 4000).alias("v"))
     return resampling.exact_sign_flip(x, ["k"], "i", "v").withColumn("p", r("p"))
@@ -308,10 +308,10 @@ def ordered_pairs(spark, d):
     return sets.ordered_pairs(R.table(spark, d, "supplier"), ["s_nationkey"], "s_suppkey")
 
 
-@query("near_intervals", sql("genes", body="SELECT t.gene_id AS target, g.gene_id, greatest(0, g.start - t.\"end\", t.start - g.\"end\") AS gap FROM genes g JOIN genes t ON g.chr = t.chr AND t.gene_id % 40 = 0 WHERE greatest(0, g.start - t.\"end\", t.start - g.\"end\") <= 5000"))
+@query("near_intervals", sql("genes", body="SELECT t.gene_id AS target, g.gene_id, greatest(0, g.start - t.\"end\", t.start - g.\"end\") AS gap FROM genes g JOIN genes t ON g.chr = t.chr WHERE greatest(0, g.start - t.\"end\", t.start - g.\"end\") <= 5000"))
 def near_intervals(spark, d):
     g = R.genes(spark, d)
-    return sets.near_intervals(g, g.where("gene_id % 40 = 0").withColumnRenamed("gene_id", "target"), 5000)
+    return sets.near_intervals(g, g.withColumnRenamed("gene_id", "target"), 5000)
 
 
 @query("checked_join", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -331,9 +331,9 @@ def mad_selection(spark, d):
     return signatures.mad_selection(v, 200).withColumn("mad", r("mad"))
 
 
-@query("variable_genes", sql("modules", m="SELECT gene_id, sum(count) / 1000.0::DOUBLE AS mean, sum(count * count) AS ss FROM modules GROUP BY gene_id", l="SELECT gene_id, ln(1 + mean) AS lm, ln((ss - 1000 * mean * mean) / 999 / mean) AS ld FROM m WHERE (ss - 1000 * mean * mean) / 999 / mean > 0", b="SELECT *, least(19, floor((lm - min(lm) OVER ()) * 20 / (max(lm) OVER () - min(lm) OVER ()))) AS bin FROM l", body="SELECT gene_id, CAST(bin AS BIGINT) AS bin, round(coalesce((ld - avg(ld) OVER w) / nullif(stddev_samp(ld) OVER w, 0), 0), 6) AS normalised FROM b WINDOW w AS (PARTITION BY bin)"))
+@query("variable_genes", sql("modules", k="SELECT count(*)::DOUBLE AS n FROM orders", m="SELECT gene_id, sum(count) / (SELECT n FROM k) AS mean, sum(count * count) AS ss FROM modules GROUP BY gene_id", l="SELECT gene_id, ln(1 + mean) AS lm, ln((ss - n * mean * mean) / (n - 1) / mean) AS ld FROM m, k WHERE (ss - n * mean * mean) / (n - 1) / mean > 0", b="SELECT *, least(19, floor((lm - min(lm) OVER ()) * 20 / (max(lm) OVER () - min(lm) OVER ()))) AS bin FROM l", body="SELECT gene_id, CAST(bin AS BIGINT) AS bin, round(coalesce((ld - avg(ld) OVER w) / nullif(stddev_samp(ld) OVER w, 0), 0), 6) AS normalised FROM b WINDOW w AS (PARTITION BY bin)"))
 def variable_genes(spark, d):
-    return signatures.variable_genes(R.modules(spark, d).withColumn("value", F.col("count").cast("double")), 1000).select("gene_id", F.col("bin").cast("long").alias("bin"), r("normalised").alias("normalised"))
+    return signatures.variable_genes(R.modules(spark, d).withColumn("value", F.col("count").cast("double")), R.obs(spark, d).count()).select("gene_id", F.col("bin").cast("long").alias("bin"), r("normalised").alias("normalised"))
 
 
 @query("nearest_vectors", "WITH p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(64), lambda k: pow(a.embedding[k + 1]::DOUBLE - b.embedding[k + 1]::DOUBLE, 2)))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT query, neighbour, round(dist, 5) AS distance, row_number() OVER (PARTITION BY query ORDER BY dist, neighbour) AS rank FROM p QUALIFY rank <= 20")

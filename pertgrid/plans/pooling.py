@@ -106,14 +106,14 @@ def dense_embedding_long(spark, d):
     return readers.dense_rows(R.table(spark, d, "embeddings"), "vec_id", "embedding").select("row_id", F.col("gene_id").cast("long").alias("gene_id"), r(F.col("count").cast("double")).alias("count"))
 
 
-@query("contiguous_runs", "WITH x AS (SELECT DISTINCT l_partkey AS x FROM lineitem WHERE l_partkey % 5 <> 2), g AS (SELECT x, x - row_number() OVER (ORDER BY x) AS k FROM x) SELECT min(x) AS first, max(x) + 1 AS last FROM g GROUP BY k")
+@query("contiguous_runs", "WITH x AS (SELECT DISTINCT l_suppkey * 64 + CAST(l_quantity AS BIGINT) AS x FROM lineitem), g AS (SELECT x, x - row_number() OVER (ORDER BY x) AS k FROM x) SELECT min(x) AS first, max(x) + 1 AS last FROM g GROUP BY k")
 def contiguous_runs(spark, d):
-    return readers.contiguous_runs(R.table(spark, d, "lineitem").where("l_partkey % 5 <> 2").select("l_partkey"), "l_partkey")
+    return readers.contiguous_runs(R.table(spark, d, "lineitem").select((F.col("l_suppkey") * 64 + F.col("l_quantity").cast("long")).alias("x")), "x")
 
 
-@query("category_histogram", "SELECT n_name AS category, count(c_custkey) AS n_cells FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_name")
+@query("category_histogram", "SELECT n_name AS category, count(c_custkey) AS n_cells FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
 def category_histogram(spark, d):
-    codes = R.table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("code"))
+    codes = R.table(spark, d, "customer").select(F.col("c_nationkey").alias("code"))
     return readers.category_histogram(codes, R.table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("category")))
 
 
@@ -134,17 +134,17 @@ def reconstructed_counts(spark, d):
     return readers.reconstructed_counts(m, "mean", "n").select("l_suppkey", "count", r("distance").alias("distance"))
 
 
-@query("memberships", "WITH m AS (SELECT s_nationkey AS complex, CAST(s_suppkey AS VARCHAR) AS gene FROM supplier WHERE s_suppkey % 3 <> 0) SELECT complex, gene FROM m WHERE complex IN (SELECT complex FROM m GROUP BY complex HAVING count(*) >= 2)")
+@query("memberships", "WITH m AS (SELECT s_nationkey AS complex, CAST(s_suppkey AS VARCHAR) AS gene FROM supplier) SELECT complex, gene FROM m WHERE complex IN (SELECT complex FROM m GROUP BY complex HAVING count(*) >= 2)")
 def memberships(spark, d):
     s = R.table(spark, d, "supplier")
     packed = s.groupBy(F.col("s_nationkey").alias("complex")).agg(F.array_join(F.collect_list(F.col("s_suppkey").cast("string")), ";").alias("subunits"))
-    return readers.memberships(packed, "complex", "subunits", s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("gene"))).select("complex", "gene")
+    return readers.memberships(packed, "complex", "subunits", s.select(F.col("s_suppkey").cast("string").alias("gene"))).select("complex", "gene")
 
 
-@query("grid_from_long", "SELECT n.n_nationkey AS nation, s.seg AS segment, round(x.v, 6) AS v FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) s LEFT JOIN (SELECT c_nationkey, c_mktsegment, max(c_acctbal) AS v FROM customer WHERE c_acctbal > 5000 GROUP BY ALL) x ON x.c_nationkey = n.n_nationkey AND x.c_mktsegment = s.seg")
+@query("grid_from_long", "SELECT n.n_nationkey AS nation, s.seg AS segment, round(x.v, 6) AS v FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) s LEFT JOIN (SELECT c_nationkey, c_mktsegment, max(c_acctbal) AS v FROM customer GROUP BY ALL) x ON x.c_nationkey = n.n_nationkey AND x.c_mktsegment = s.seg")
 def grid_from_long(spark, d):
     c = R.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
-    v = c.where("c_acctbal > 5000").groupBy("nation", "segment").agg(F.max("c_acctbal").alias("v"))
+    v = c.groupBy("nation", "segment").agg(F.max("c_acctbal").alias("v"))
     return readers.grid_from_long(v, R.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), c, "nation", "segment", "v").withColumn("v", r("v"))
 
 

@@ -10,9 +10,9 @@ from . import registry as R
 from .registry import CONTROL, query, r, sql
 
 
-@query("crosstab", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_orderstatus")
+@query("crosstab", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
 def crosstab(spark, d):
-    o = R.table(spark, d, "orders").where("o_custkey % 3 = 0")
+    o = R.table(spark, d, "orders")
     return aggregates.crosstab(o, "o_orderstatus", "o_orderpriority", ["1-URGENT", CONTROL]).withColumnsRenamed({"1-URGENT": "urgent", CONTROL: "low"})
 
 
@@ -83,9 +83,9 @@ def context_combinations(spark, d):
     return sets.combinations(R.table(spark, d, "nation"), "n_name")
 
 
-@query("left_fill", "SELECT n_nationkey, n_name, coalesce(x.n, 0) AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY c_nationkey) x ON c_nationkey = n_nationkey")
+@query("left_fill", "SELECT n_nationkey, n_name, coalesce(x.n, 0) AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) x ON c_nationkey = n_nationkey")
 def left_fill(spark, d):
-    n = R.table(spark, d, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    n = R.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
     return sets.left_fill(R.table(spark, d, "nation").select("n_nationkey", "n_name"), n, ["n_nationkey"], "n", 0)
 
 
@@ -95,9 +95,9 @@ def reference_scaled(spark, d):
     return m.select("target", r(metrics.reference_scaled(1 - F.col("nae"), F.lit(0.1), F.lit(0.9))).alias("scaled"))
 
 
-@query("aligned_sources", sql("truth", "prediction", body="SELECT t.target, t.gene_id, round(t.value, 6) + 0 AS value FROM truth t WHERE t.target IN (SELECT target FROM prediction WHERE target % 2 = 1) AND t.gene_id IN (SELECT gene_id FROM prediction WHERE target % 2 = 1 AND gene_id < 45)"))
+@query("aligned_sources", sql("truth", "prediction", body="SELECT t.target, t.gene_id, round(t.value, 6) + 0 AS value FROM truth t WHERE t.target IN (SELECT target FROM prediction) AND t.gene_id IN (SELECT gene_id FROM prediction)"))
 def aligned_sources(spark, d):
-    p = R.prediction(spark, d).where("target % 2 = 1 and gene_id < 45")
+    p = R.prediction(spark, d)
     return sets.align([R.truth(spark, d), p], ["target", "gene_id"])[0].select("target", "gene_id", r("value").alias("value"))
 
 

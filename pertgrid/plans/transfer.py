@@ -219,11 +219,11 @@ def significant_jaccard(spark, d):
     return metrics.significant_jaccard(s(R.prediction(spark, d)), s(R.truth(spark, d)), ["target"]).withColumn("jaccard", r("jaccard"))
 
 
-_EFF = "SELECT gene_id, avg(value) AS d FROM truth WHERE gene_id < 40 GROUP BY gene_id"
+_EFF = "SELECT gene_id, avg(value) AS d FROM truth GROUP BY gene_id"
 
 
 def _eff(spark, d):
-    return R.truth(spark, d).where("gene_id < 40").groupBy("gene_id").agg(F.avg("value").alias("value"))
+    return R.truth(spark, d).groupBy("gene_id").agg(F.avg("value").alias("value"))
 
 
 @query("log_rate_decoder", sql("modules", "truth", e=_EFF, x="SELECT m.row_id, m.gene_id, m.count, e.d, CASE WHEN e.d IS NOT NULL THEN m.count * exp(2 * e.d) END AS w FROM modules m LEFT JOIN e USING (gene_id)", body="SELECT row_id, gene_id, round(CASE WHEN d IS NOT NULL THEN sum(CASE WHEN d IS NOT NULL THEN count END) OVER p * w / sum(w) OVER p ELSE count END, 6) AS expected FROM x WINDOW p AS (PARTITION BY row_id)"))
@@ -231,9 +231,9 @@ def log_rate_decoder(spark, d):
     return decoders.log_rate(R.modules(spark, d), _eff(spark, d), 2.0).withColumn("expected", r("expected"))
 
 
-@query("shift_decoder", sql("modules", "truth", e=_EFF, c="SELECT row_id, gene_id, count FROM modules WHERE row_id % 10 = 0", t="SELECT row_id, sum(count) AS total FROM c GROUP BY row_id", x="SELECT t.row_id, e.gene_id, t.total, greatest(exp(ln(1 + coalesce(c.count, 0) * 1e4 / t.total) + e.d) - 1, 0) AS raw FROM t CROSS JOIN e LEFT JOIN c ON c.row_id = t.row_id AND c.gene_id = e.gene_id", body="SELECT row_id, gene_id, round(coalesce(total * raw / nullif(sum(raw) OVER (PARTITION BY row_id), 0), 0), 5) AS expected FROM x"))
+@query("shift_decoder", sql("modules", "truth", e=_EFF, t="SELECT row_id, sum(count) AS total FROM modules GROUP BY row_id", x="SELECT t.row_id, e.gene_id, t.total, greatest(exp(ln(1 + coalesce(c.count, 0) * 1e4 / t.total) + e.d) - 1, 0) AS raw FROM t CROSS JOIN e LEFT JOIN modules c ON c.row_id = t.row_id AND c.gene_id = e.gene_id", body="SELECT row_id, gene_id, round(coalesce(total * raw / nullif(sum(raw) OVER (PARTITION BY row_id), 0), 0), 5) AS expected FROM x"))
 def shift_decoder(spark, d):
-    return decoders.shift_and_renormalise(R.modules(spark, d).where("row_id % 10 = 0"), _eff(spark, d)).withColumn("expected", r("expected", 5))
+    return decoders.shift_and_renormalise(R.modules(spark, d), _eff(spark, d)).withColumn("expected", r("expected", 5))
 
 
 @query("decoded_sums", sql("modules", "obs", "truth", e=_EFF, x="SELECT m.row_id, m.gene_id, m.count, e.d, CASE WHEN e.d IS NOT NULL THEN m.count * exp(e.d) END AS w FROM modules m LEFT JOIN e USING (gene_id)", y="SELECT row_id, gene_id, CASE WHEN d IS NOT NULL THEN sum(CASE WHEN d IS NOT NULL THEN count END) OVER p * w / sum(w) OVER p ELSE count END AS v FROM x WINDOW p AS (PARTITION BY row_id)", z="SELECT o.target, y.gene_id, sum(v) AS v, sum(v * 1e6 / s) AS c FROM (SELECT *, sum(v) OVER (PARTITION BY row_id) AS s FROM y) y JOIN obs o USING (row_id) GROUP BY ALL", body="SELECT z.target, gene_id, round(v, 4) AS expected, round(v * 1e6 / sum(v) OVER (PARTITION BY z.target), 4) AS cpm, round(c / n, 4) AS mean_cpm FROM z JOIN (SELECT target, count(*) AS n FROM obs GROUP BY target) k USING (target)"))
@@ -314,9 +314,9 @@ def scatter_increases(spark, d):
     return decoders.scatter_increases(extra, cells)
 
 
-@query("covariance_columns", sql("modules", g="SELECT DISTINCT gene_id FROM modules", x="SELECT a.gene_id, t.gene_id AS target_gene, sum(a.count * t.count) AS xy FROM modules a JOIN modules t ON a.row_id = t.row_id AND t.gene_id IN (1, 2, 3) GROUP BY ALL", s="SELECT gene_id, sum(count)::DOUBLE AS s FROM modules GROUP BY gene_id", body="SELECT a.gene_id, t.gene_id AS target_gene, round((coalesce(xy, 0) - a.s * t.s / 20000) / 19999, 6) AS covariance FROM s a JOIN s t ON t.gene_id IN (1, 2, 3) LEFT JOIN x ON x.gene_id = a.gene_id AND x.target_gene = t.gene_id"))
+@query("covariance_columns", sql("modules", g="SELECT DISTINCT gene_id FROM modules", x="SELECT a.gene_id, t.gene_id AS target_gene, sum(a.count * t.count) AS xy FROM modules a JOIN modules t ON a.row_id = t.row_id AND t.gene_id IN (1, 2, 3) GROUP BY ALL", s="SELECT gene_id, sum(count)::DOUBLE AS s FROM modules GROUP BY gene_id", body="SELECT a.gene_id, t.gene_id AS target_gene, round((coalesce(xy, 0) - a.s * t.s / (SELECT count(*) FROM orders)) / ((SELECT count(*) FROM orders) - 1), 6) AS covariance FROM s a JOIN s t ON t.gene_id IN (1, 2, 3) LEFT JOIN x ON x.gene_id = a.gene_id AND x.target_gene = t.gene_id"))
 def covariance_columns(spark, d):
-    return moments.covariance_columns(R.modules(spark, d).withColumn("value", F.col("count").cast("double")), [1, 2, 3], 20000).withColumn("covariance", r("covariance"))
+    return moments.covariance_columns(R.modules(spark, d).withColumn("value", F.col("count").cast("double")), [1, 2, 3], R.obs(spark, d).count()).withColumn("covariance", r("covariance"))
 
 
 @query("pooled_within_covariance", sql("modules", "obs", m="SELECT m.*, o.batch FROM modules m JOIN obs o USING (row_id)", n="SELECT batch, count(*)::DOUBLE AS n FROM obs GROUP BY batch", s="SELECT batch, gene_id, sum(count)::DOUBLE AS s FROM m GROUP BY ALL", x="SELECT a.batch, a.gene_id, t.gene_id AS target_gene, sum(a.count * t.count) AS xy FROM m a JOIN m t ON a.row_id = t.row_id AND t.gene_id IN (1, 2) GROUP BY ALL", body="SELECT a.gene_id, t.gene_id AS target_gene, round(sum(coalesce(xy, 0) - a.s * t.s / n) / (SELECT sum(n) - count(*) FROM n), 6) AS covariance FROM s a JOIN s t ON t.batch = a.batch AND t.gene_id IN (1, 2) JOIN n ON n.batch = a.batch LEFT JOIN x ON x.batch = a.batch AND x.gene_id = a.gene_id AND x.target_gene = t.gene_id GROUP BY a.gene_id, t.gene_id"))
@@ -336,18 +336,18 @@ def response_columns(spark, d):
     return moments.response_columns(moments.between_states(R.truth(spark, d), "target", [1, 2])).withColumn("response", r("response"))
 
 
-_RATES = dict(rt="SELECT row_id, gene_id, count, sum(count) OVER (PARTITION BY row_id) AS total, count / sum(count) OVER (PARTITION BY row_id) AS rate FROM modules", mr="SELECT gene_id, sum(rate) / 20000 AS m FROM rt GROUP BY gene_id", sm="SELECT a.gene_id, t.gene_id AS target_gene, sum(CASE WHEN a.gene_id = t.gene_id THEN t.count * (t.count - 1) / (t.total * t.total)::DOUBLE ELSE a.rate * t.rate END) / 20000 AS m2 FROM rt a JOIN rt t ON a.row_id = t.row_id AND t.gene_id IN (1, 2) GROUP BY ALL")
+_RATES = dict(rt="SELECT row_id, gene_id, count, sum(count) OVER (PARTITION BY row_id) AS total, count / sum(count) OVER (PARTITION BY row_id) AS rate FROM modules", mr="SELECT gene_id, sum(rate) / (SELECT count(*) FROM orders) AS m FROM rt GROUP BY gene_id", sm="SELECT a.gene_id, t.gene_id AS target_gene, sum(CASE WHEN a.gene_id = t.gene_id THEN t.count * (t.count - 1) / (t.total * t.total)::DOUBLE ELSE a.rate * t.rate END) / (SELECT count(*) FROM orders) AS m2 FROM rt a JOIN rt t ON a.row_id = t.row_id AND t.gene_id IN (1, 2) GROUP BY ALL")
 
 
 @query("factorial_moments", sql("modules", **_RATES, body="SELECT gene_id, target_gene, round(m2, 9) AS second_moment FROM sm"))
 def factorial_moments(spark, d):
-    return moments.factorial_moments(R.modules(spark, d), 20000, [1, 2]).withColumn("second_moment", r("second_moment", 9))
+    return moments.factorial_moments(R.modules(spark, d), R.obs(spark, d).count(), [1, 2]).withColumn("second_moment", r("second_moment", 9))
 
 
 @query("lognormal_columns", sql("modules", **_RATES, body="SELECT sm.gene_id, sm.target_gene, round(ln(m2 / (a.m * b.m)), 6) AS log_covariance FROM sm JOIN mr a ON a.gene_id = sm.gene_id JOIN mr b ON b.gene_id = sm.target_gene WHERE m2 > 0"))
 def lognormal_columns(spark, d):
-    m = R.modules(spark, d)
-    out = moments.lognormal_columns(moments.factorial_moments(m, 20000, [1, 2]), moments.mean_rates(m, 20000))
+    m, n = R.modules(spark, d), R.obs(spark, d).count()
+    out = moments.lognormal_columns(moments.factorial_moments(m, n, [1, 2]), moments.mean_rates(m, n))
     return out.where("log_covariance is not null").withColumn("log_covariance", r("log_covariance"))
 
 

@@ -1,5 +1,6 @@
 """Closed-form, brute-force and edge cases of the core operators."""
 
+import itertools
 import math
 import random
 import statistics
@@ -143,6 +144,20 @@ def test_sign_flip_of_large_groups(spark, tmp_path):
     assert [(r.n, r.p is None) for r in QUERIES["exact_sign_flip"](spark, str(tmp_path)).collect()] == [(45, False)] * 2
 
 
+def test_sign_flip_query_equals_all_sign_vectors(spark, tmp_path):
+    from pertgrid.plans import QUERIES
+
+    rng = random.Random(8)
+    rows = [(i, i % 3, 4000.0 + rng.randrange(-300, 500) / 100) for i in range(34)] + [(100, 7, 4001.5), (101, 8, 4000.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {}
+    for k in {k for _, k, _ in rows}:
+        v = [round(100 * (a - 4000)) for _, n, a in rows if n == k]
+        sums = [sum(s * x for s, x in zip(signs, v)) for signs in itertools.product((1, -1), repeat=len(v))]
+        want[k] = (len(v), round(sum(abs(s) >= abs(sum(v)) for s in sums) / len(sums), 6))
+    assert {r.k: (r.n, r.p) for r in QUERIES["exact_sign_flip"](spark, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize("rounding", [decoders.largest_remainder, decoders.systematic_rounding])
 def test_roundings_keep_totals(spark, rounding):
     rng = random.Random(4)
