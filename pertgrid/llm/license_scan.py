@@ -4,8 +4,9 @@ A document's words are cut into overlapping blocks.  A block matches a template
 ``CONTAINMENT`` of the template's distinct words.  Template words are ordered by their frequency in the whole
 corpus, rarest first.  A match must hold a word of the template's prefix (as many rarest words as
 may be absent, and one), so only blocks around such words are looked at; the length filter drops blocks with too few distinct
-words, the positional filter those whose first shared word comes too late in the order for enough words
-to follow.  The survivors are verified, so the join is exact.
+words, the positional filter those that hold too few template words from their first shared word on, in that order.
+The survivors are verified, so the join is exact.  Blocks of a template are twice as long as the larger of it and ``BLOCK_STEP``
+words, from half a block to the next, so every stretch of a template's length stands whole in some block.
 
 Besides, fixed phrases are looked up as consecutive words.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,13 +26,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 CONTAINMENT = 0.9
-#: Words of a block, and words from one block's start to the next one's.
+#: Words of a block, and words from one block's start to the next one's, at least: a longer template has longer ones.
 BLOCK_WORDS, BLOCK_STEP = 48, 24
 #: Templates are given to all tasks: more words than this are refused.
 MAX_TEMPLATE_WORDS = 100_000
 #: (phrase, label), fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (template, label): usual forms of license notices.  None is longer than BLOCK_STEP words.
+#: (template, label): usual forms of license notices.
 TEMPLATES = (
     ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
     ("Released under the MIT License", "mit"),
@@ -72,35 +74,50 @@ class Scanner:
 
     def __init__(self, templates, phrases, frequency: dict[bytes, int], containment: float = CONTAINMENT):
         self.phrases = [(words(p), label) for p, label in phrases]
+        vocabulary = {w for text, _ in templates for w in words(text)}
+        self.rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.prefix = [], {}
         for text, label in templates:
-            order = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
+            order = sorted(set(words(text)), key=self.rank.__getitem__)
             need = math.ceil(containment * len(order) - 1e-9)
-            number = len(self.templates)
-            self.templates.append((set(order), order, need, label))
-            for place, w in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(w, []).append((number, place))
+            step = max(BLOCK_STEP, len(words(text)))
+            start = order[: len(order) - need + 1]
+            self.templates.append((set(order), start, need, label, step))
+            for w in start:
+                self.prefix.setdefault(w, []).append(len(self.templates) - 1)
         self.triggers = set(self.prefix) | {p[0] for p, _ in self.phrases}
 
+    def _block(self, found: list[bytes], start: int, size: int) -> tuple[set[bytes], list[int], set[int]]:
+        """Distinct words of a block, the ordered ranks of those that templates have, and templates already tried on it."""
+        own = set(found[start : start + size])
+        return own, sorted(self.rank[w] for w in own if w in self.rank), set()
+
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places of the phrases with their labels, and labels of matched templates with their containment."""
-        base, labels, seen = [], {}, set()
+        base, labels, near = [], {}, {}
         for at in [i for i, w in enumerate(found) if w in self.triggers]:
             w = found[at]
             for phrase, label in self.phrases:
                 if phrase[0] == w and found[at : at + len(phrase)] == phrase:
                     base.append((at, label))
-            for number, place in self.prefix.get(w, ()):
-                members, order, need, label = self.templates[number]
-                if len(order) - place < need:  # positional filter: words from here on are too few
-                    continue
-                for block in range(max(0, at // BLOCK_STEP - (BLOCK_WORDS - 1) // BLOCK_STEP), at // BLOCK_STEP + 1):
-                    start = block * BLOCK_STEP
-                    if not start <= at < start + BLOCK_WORDS or (number, block) in seen:
+            for number in self.prefix.get(w, ()):
+                members, prefix, need, label, step = self.templates[number]
+                blocks = near.setdefault(step, {})
+                for passed in [b for b in blocks if b < at // step - 1]:  # later words are in none of them
+                    del blocks[passed]
+                for block in range(max(0, at // step - 1), at // step + 1):
+                    if block not in blocks:
+                        blocks[block] = self._block(found, block * step, 2 * step)
+                    own, ranks, tried = blocks[block]
+                    if number in tried:
+                        continue
+                    tried.add(number)
+                    if len(own) < need:  # length filter
+                        continue
+                    first = next(p for p in prefix if p in own)
+                    if len(ranks) - bisect_left(ranks, self.rank[first]) < need:  # positional filter: what may be shared begins there
                         continue
-                    seen.add((number, block))
-                    own = set(found[start : start + BLOCK_WORDS])
-                    if len(own) >= need and (shared := len(own & members)) >= need:
+                    if (shared := len(own & members)) >= need:
                         labels[label] = max(labels.get(label, 0.0), shared / len(members))
         return base, labels
 

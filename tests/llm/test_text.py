@@ -182,3 +182,29 @@ def test_license_scan_matches_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == brute_license(t), t
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
     assert license_scan.scan_licenses(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_long_license_templates_are_found_at_any_place(spark):
+    """Templates longer than a usual block: brute force over every block of their own length, without filters."""
+    rng = random.Random(9)
+    long = " ".join(f"clause{k} of the notice" for k in range(70))
+    middle = " ".join(f"term{k}" for k in range(33))
+    templates = ((long, "long"), (middle, "middle"), ("public of notice term1", "short"))
+    texts = [None, "", "of the notice " * 500]
+    for _ in range(120):
+        filler = [rng.choice(["the", "of", "notice", "term1", "public", f"w{rng.randrange(90)}"]) for _ in range(rng.randrange(0, 400))]
+        notice = rng.choice(templates)[0].split()
+        for i in rng.sample(range(len(notice)), rng.randrange(0, 1 + len(notice) // 6)):
+            notice[i] = "changed"
+        at = rng.randrange(len(filler) + 1)
+        texts.append(" ".join(filler[:at] + notice + filler[at:]))
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame([(k, t, 0, "") for k, t in enumerate(texts)], DOCS), templates, ()).collect()}
+    for k, text in enumerate(texts):
+        words, want = (text or "").split(), set()
+        for template, label in templates:
+            step, members = max(license_scan.BLOCK_STEP, len(template.split())), set(template.split())
+            for start in range(0, max(1, len(words)), step):
+                if len(members & set(words[start : start + 2 * step])) >= license_scan.CONTAINMENT * len(members) - 1e-9:
+                    want.add(label)
+        assert got[k] == ",".join(sorted(want)), text
+    assert {"long", "middle", "short"} <= {x for v in got.values() for x in v.split(",")}
