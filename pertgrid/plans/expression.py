@@ -246,7 +246,7 @@ def random_subsample(spark, d):
     return resampling.random_subsample(R.obs(spark, d), "row_id", 250, seed=3).select("row_id")
 
 
-_DRAWS = "SELECT k AS replicate, ('0x' || substr(sha256('0:' || k || ':' || j), 1, 12))::BIGINT % (SELECT count(*) FROM supplier) AS place FROM range(200) t(k), range((SELECT count(*) FROM supplier)) u(j)"
+_DRAWS = "SELECT k AS replicate, ('0x' || substr(sha256('0:' || k || ':' || j), 1, 12))::BIGINT % (SELECT count(*) FROM supplier) AS place FROM range(2000) t(k), range((SELECT count(*) FROM supplier)) u(j)"
 
 
 @query("bootstrap_mean_ci", f"WITH p AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier), m AS (SELECT replicate, avg(v) AS m FROM ({_DRAWS}) JOIN p USING (place) GROUP BY replicate) SELECT round((SELECT avg(s_acctbal) FROM supplier), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
