@@ -184,3 +184,28 @@ def test_url_of_unlabelled_hosts(spark):
     assert [got[5000 + k].verdict for k in range(6)] == ["block", "allow", "block", "allow", "block", "block"]
     assert got[5004].rate == pytest.approx(0.5)  # of all pages: neither domain nor suffix has labels
     assert all(got[k].verdict == ("block" if k % 2 else "allow") for k, _ in pages)
+
+
+def test_joined_rules_are_the_literal_ones(spark, monkeypatch):
+    some = [u[0] for u in URLS] + ["http://example.com./en/", "http://a.b.c.d.example.com/en/x", "http://example.com/e", "x://" + "a." * 20_000 + "net/es/"] + ["http://a.net/fr/"] * 3
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    labels = spark.createDataFrame([], "page_id long, bad int")
+    rules = [*url_filter.RULES, ("block", "", "/en/"), ("allow", "com", ""), ("block", "com", "/e"), ("block", "com", "/e")]
+    want = sorted(map(tuple, url_filter.judge(pages, labels, rules).select("page_id", "host", "path", "rule", "verdict").collect()))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 3)
+    got = url_filter.judge(pages, labels, rules).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == want
+    table = spark.createDataFrame([], "verdict string, host string, path string")
+    assert {(r.rule, r.verdict) for r in url_filter.judge(pages, labels, table).collect()} == {(None, "allow")}
+
+
+def test_parents_of_hosts(spark):
+    hosts = ["a.example.com", "x.y.co.uk", "co.uk", "127.0.0.1:80", "user@m.example.com:8080", "localhost", "", "foo.pages.dev", "a.b.c.kyoto.jp", "[::1]:80", "k" * 50_000 + ".org", "b." * 5_000 + "c.org"]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    plain = {r.host: (r.domain, r.suffix) for r in url_filter.with_parents(frame).collect()}
+    assert plain["x.y.co.uk"] == ("y.co.uk", "co.uk") and plain["127.0.0.1:80"] == ("127.0.0.1", "") and plain["foo.pages.dev"] == ("pages.dev", "dev")
+    suffixes = spark.createDataFrame([(x,) for x in ("com", "co.uk", "uk", "pages.dev", "dev", "c.kyoto.jp", None)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.with_parents(frame, suffixes).collect()}
+    assert got == plain | {"foo.pages.dev": ("foo.pages.dev", "pages.dev"), "a.b.c.kyoto.jp": ("b.c.kyoto.jp", "c.kyoto.jp")}
+    pages = spark.createDataFrame([(k, f"http://u{k}.pages.dev/") for k in range(9)], "page_id long, url string")
+    assert len(url_filter.judge(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int"), suffixes=suffixes).collect()) == 9
