@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import catalog, expression, pooling, selection, tables, transfer
+from . import catalog, expression, groups, pooling, selection, tables, transfer
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "expression", "pooling", "selection", "tables", "transfer"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "expression", "groups", "pooling", "selection", "tables", "transfer"]
