@@ -22,10 +22,10 @@ def nullable_strings(spark, d):
     return readers.nullable_strings(o, "o_orderpriority", "mask", "label").select("o_orderkey", "label")
 
 
-@query("axis_difference", "(SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("axis_difference", "(SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A')")
 def axis_difference(spark, d):
     li = R.table(spark, d, "lineitem")
-    return readers.axis_difference(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey"])
+    return readers.axis_difference(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"])
 
 
 @query("group_sizes", sql("obs", body="SELECT guide, batch, count(*) AS n_cells FROM obs GROUP BY guide, batch"))
