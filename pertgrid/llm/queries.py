@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, token_output, url_filter
+from . import chat_format, decontamination, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -77,8 +81,19 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_quality_rules": op11_quality_rules,
 }
 
+#: CRC-32 of the distinct strings ``f`` of a relation ``features``: ``crcs`` (f, crc).
+_CRC32 = """
+  crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+  ), crc_bytes AS (
+    SELECT f, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM features)
+  ), crcs AS (
+    SELECT f, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM crc_bytes, crc_table
+  )"""
+
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
@@ -201,3 +216,37 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """,
 }
 ORACLE_SQL["op8_url_filter"] = ORACLE_SQL["op8_url_filter"].replace("GROUP BY ALL\n)\nSELECT page_id", "GROUP BY page_id, host, path\n)\nSELECT page_id")
+ORACLE_SQL["op11_quality_rules"] = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, coalesce(text, '') AS text FROM documents
+), places AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w
+), runs AS (
+  SELECT doc_id, p, word, lead(word) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3, lead(word, 4) OVER o AS w4 FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), twice AS (
+  SELECT doc_id, p, w4 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w1, w2, w3, w4) > 1 AS again FROM runs
+), repeats AS (
+  SELECT doc_id, count(*) FILTER (near)::BIGINT AS n FROM (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS near FROM twice) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), features AS (
+  SELECT doc_id, word AS f FROM runs UNION ALL SELECT doc_id, word || ' ' || w1 FROM runs WHERE w1 IS NOT NULL
+), {_CRC32}, hashed AS (
+  SELECT doc_id, crc % {quality_rules.BUCKETS} AS bucket FROM features JOIN crcs USING (f)
+), trusted AS (
+  SELECT DISTINCT doc_id, 1 AS yes FROM labels WHERE quality = 1 AND toxic = 0
+), counts AS (
+  SELECT bucket, count(*) AS s, count(yes) AS t FROM hashed LEFT JOIN trusted USING (doc_id) GROUP BY bucket
+), sums AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM counts
+), gains AS (
+  SELECT bucket, CASE WHEN sums.t > 0 THEN floor(1000 * ln((counts.t * sums.s + {quality_rules.SMOOTHING} * sums.t) / ((counts.s + {quality_rules.SMOOTHING}) * sums.t))) ELSE 0 END::BIGINT AS gain FROM counts, sums
+), scored AS (
+  SELECT doc_id, sum(gain) AS gain FROM hashed JOIN gains USING (bucket) GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+    floor(coalesce(gain, 0) / (greatest(2 * len(w) - 1, 0) + {quality_rules.PRIOR}))::BIGINT AS score
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN scored USING (doc_id)
+), ruled AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND score >= {quality_rules.MIN_SCORE} AS kept FROM ruled
+"""
