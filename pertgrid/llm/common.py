@@ -52,11 +52,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as a table of the shared folder and read again: its lineage ends here, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before.  ``options`` are those of the Parquet writer."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

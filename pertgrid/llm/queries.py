@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
+from . import chat_format, decontamination, exact_dedup, importance_resampling, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_quality_rules": op11_quality_rules,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: CRC-32 of the distinct strings ``f`` of a relation ``features``: ``crcs`` (f, crc).
@@ -250,3 +255,28 @@ WITH w AS (
 ), ruled AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
 SELECT *, NOT base_failed AND score >= {quality_rules.MIN_SCORE} AS kept FROM ruled
 """
+
+ORACLE_SQL["op12_importance_resampling"] = f"""
+WITH texts AS (
+  SELECT doc_id, false AS aim, text FROM documents UNION ALL SELECT NULL, true, text FROM benchmark
+), w AS (
+  SELECT doc_id, aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), features AS (
+  SELECT doc_id, aim, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), {_CRC32}, hashed AS (
+  SELECT doc_id, aim, crc % 10000 AS bucket FROM features JOIN crcs USING (f)
+), counts AS (
+  SELECT r.bucket, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t FROM range(10000) r(bucket) LEFT JOIN hashed USING (bucket) GROUP BY r.bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weighted AS (
+  SELECT doc_id, count(*)::BIGINT AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM hashed JOIN gains USING (bucket) WHERE NOT aim GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM documents d LEFT JOIN weighted USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 39
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
