@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, importance_resampling, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
+from . import chat_format, decontamination, exact_dedup, importance_resampling, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, token_output, tokenizer_alignment, url_filter
 from .common import table
 
 
@@ -74,6 +74,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -87,6 +93,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_quality_rules": op11_quality_rules,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 #: CRC-32 of the distinct strings ``f`` of a relation ``features``: ``crcs`` (f, crc).
