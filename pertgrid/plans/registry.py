@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +75,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset in a session of one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        folder = "file:" + tempfile.mkdtemp(prefix="pertgrid-tables-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("gene_id")).agg(F.sum("l_quantity").cast("long").alias("count"))
 
