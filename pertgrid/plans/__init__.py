@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from . import catalog, expression, groups, models, pooling, selection, tables, transfer
+from . import calibration, catalog, expression, groups, models, pooling, selection, tables, transfer
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "expression", "groups", "models", "pooling", "selection", "tables", "transfer"]
+__all__ = ["ORACLE_SQL", "QUERIES", "calibration", "catalog", "expression", "groups", "models", "pooling", "selection", "tables", "transfer"]
