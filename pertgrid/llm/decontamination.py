@@ -145,10 +145,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``LOCAL_EQUAL`` of some ``LOCAL_WORDS`` neighbouring ones.  An item shorter than the span leaks where all its words
     stand in a row, be it a single word.  Null or empty items match nothing; neither do documents without text or
     doc_id.  Rows that repeat an id are one document or item: the best alignment of any of them counts.
-    Documents without a leak have no row.  Further columns are not read.
+    Documents without a leak have no row.  Further columns are not read.  Ids are whole numbers, of any type that can be cast
+    to long, and come back as such.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     items = stored(items.mapInArrow(_item_rows, "item_id long, item array<long>, hashes array<long>").withColumn("variant", F.xxhash64("item")), "benchmark-items")
     places = items.select("item_id", "variant", F.explode("hashes").alias("hash"))
     hashes = places.select("hash").distinct()
@@ -174,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "words", "hashes"])
 
-    wanted = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    wanted = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     hit = stored(wanted.mapInArrow(hits, "doc_id long, words array<long>, hashes array<long>").withColumn("row", F.xxhash64("words")), "seed-hits")
     # one row for each document and item, however many hashes they share and however often these occur in either
     pairs = hit.select("doc_id", "row", F.explode("hashes").alias("hash")).join(places, "hash").select("doc_id", "row", "item_id", "variant").distinct()

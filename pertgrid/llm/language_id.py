@@ -89,7 +89,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     ``lang_pred`` is a language of ``dictionaries``, or ``und`` for a null text or one without a letter, which is
     not accepted.  ``score`` is margin / (margin + MIN_MARGIN): one half where rejection begins.  With a
-    single dictionary all text belongs to it.  Only doc_id and text are read.
+    single dictionary all text belongs to it.  Only doc_id, of any type, and text are read.
     """
     bounded_batches(docs.sparkSession)
     content = dict(dictionaries)
@@ -109,7 +109,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "margin", "accepted"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, accepted boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, accepted boolean")
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -127,7 +127,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contain
 
     A null text is empty.  Labels are distinct, sorted and joined by commas, empty without any; first_word and
     last_word are null without a phrase.  ``score`` is 1 with a phrase, else the largest containment of a matched
-    template, else 0.  Only doc_id and text are read.
+    template, else 0.  Only doc_id, of any type, and text are read.
     """
     bounded_batches(docs.sparkSession)
     vocabulary = {w for text, _ in templates for w in words(text)}
@@ -152,4 +152,5 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contain
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -381,10 +381,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id that links reach; a text that is null or has no word has no
     shingle and links with nothing.  Rows that repeat a doc_id are one document, whose text is the smallest of theirs; they
     share its component and n_shingles.  A null doc_id links with nothing and has a null component.  An empty table gives
-    no rows; further columns are not read.
+    no rows; further columns are not read.  Ids are whole numbers, of any type that can be cast to long, and come back as such.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = docs.where(F.col("doc_id").isNotNull())
     if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return _near_duplicates(docs)
