@@ -3,10 +3,11 @@
 Neither vocabulary has an entry in which certain white space follows another character (``Pair`` looks through both for it),
 so no merge crosses the place before such white space, and a text may be cut there: each segment's tokens are the text's.  Tasks
 cut their documents into segments and store them as blocks: the documents as numbers of segments, and the block's distinct
-segments.  The distinct segments of all blocks are tokenised and aligned once each and joined back to the blocks that hold
-them, where documents are composed from them.  Each block also counts, for every linked pair of ids, its documents that hold
-the pair; the sums over all blocks are joined back in the same way.  Every shuffled row is a distinct segment or pair of a
-block, so words and pairs that are frequent in the corpus have no more rows than there are blocks.
+segments.  One shuffle brings equal segments of all blocks together and sorts them; each distinct one is tokenised and aligned
+once, and its alignment goes back to the blocks that hold it, where documents are composed.  Each block also counts, for
+every linked pair of ids, its documents that hold the pair; the sums over all blocks are joined back to them.  Every shuffled
+row is a distinct segment or pair of a block, so words and pairs that are frequent in the corpus have no more rows than there
+are blocks.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, released, stored
 
 #: Characters of text after which a block is closed; a document is never cut.
 BLOCK_CHARS = 16 << 20
 #: Segments of a block whose documents' pairs are looked at together.
 CHUNK = 1 << 17
+#: Segments whose groups are parsed at a time.
+PARSED = 1 << 15
+#: Aligned segments that a task gathers by block before it hands them on.
+GATHERED = 1 << 18
 _SPACES = "\t\n\x0b\x0c\r "
 
 
@@ -40,6 +45,18 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class Cutter:
+    """Cuts texts before each run of white space that begins with a character of ``cuts`` and follows another character."""
+
+    def __init__(self, cuts: str):
+        self._no_cut = re.compile(rf"[^\S{re.escape(cuts)}]") if cuts else re.compile(r"\s")
+        self._cut = re.compile(rf"(?<=\S)(?=[{re.escape(cuts)}])") if cuts else re.compile(r"(?!)")
+        self._run = re.compile(r"\s*\S+|\s+")
+
+    def __call__(self, text: str) -> list[str]:
+        return self._cut.split(text) if self._no_cut.search(text) else self._run.findall(text)
+
+
 class Pair:
     """Both tokenizers: A from a file of the tokenizers library, byte-level; B a sentencepiece model, which adds a space."""
 
@@ -63,20 +80,14 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         entries = [x.decode(errors="replace") for x in self.a_bytes + self.b_bytes]
+        #: The white space that follows another character in no entry of either vocabulary.
         self.cuts = "".join(c for c in _SPACES if not any(re.search(rf"\S{re.escape(c)}", x) for x in entries))
-        self._no_cut = re.compile(rf"[^\S{re.escape(self.cuts)}]") if self.cuts else re.compile(r"\s")
-        self._cut = re.compile(rf"(?<=\S)(?=[{re.escape(self.cuts)}])") if self.cuts else re.compile(r"(?!)")
-        self._run = re.compile(r"\s*\S+|\s+")
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Pair:
         key = a_path, b_path
         return cls._of.get(key) or cls._of.setdefault(key, cls(*key))
 
-    def segments(self, text: str) -> list[str]:
-        """``text`` cut before each run of white space that begins with a character of ``cuts`` and follows another character."""
-        return self._cut.split(text) if self._no_cut.search(text) else self._run.findall(text)
-
     def groups(self, segments: list[str]) -> list[str | None]:
         """Each segment's groups as ``a1,a2|b1;a3|b2,b3``; None where the tokens' bytes are not the segment's."""
         a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
@@ -110,32 +121,35 @@ class Pair:
         return "".join(parts[:-1]).split("\n")
 
 
+def _parsed(groups: list[bytes]) -> list[np.ndarray]:
+    """n_a, n_b, n_groups and n_links of each segment, and all links in order as A's id times 2 ** 32 plus B's."""
+    text = b"\n".join(groups) + b"\n"
+    raw = np.frombuffer(text, np.uint8)
+    behind = raw[(raw < 48) | (raw > 57)]
+    number = np.array(re.sub(rb"\D", b" ", text).split(), np.int64)
+    closed = (behind == 59) | (behind == 10)
+    before = np.concatenate([[0], np.cumsum(closed)])
+    of = before[:-1]
+    side = np.concatenate([[0], np.cumsum(behind == 124)])[:-1] - of
+    segment = np.concatenate([[0], np.cumsum(behind == 10)])[:-1]
+    n, n_groups = len(groups), int(before[-1])
+    a_at, b_at = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    per_group = np.bincount(of[b_at], minlength=n_groups)
+    first = np.cumsum(per_group) - per_group
+    times = per_group[of[a_at]]  # links of each token of A
+    links = np.repeat(number[a_at], times) << 32 | number[b_at][_expanded(first[of[a_at]], times)]
+    counts = [np.bincount(x, minlength=n) for x in (segment[a_at], segment[b_at], segment[closed], np.repeat(segment[a_at], times))]
+    return [*counts, links]
+
+
 class Links:
-    """The links of segments, from their groups as written by ``Pair.groups``: numbers per segment, and every link's segment and pair."""
-
-    def __init__(self, groups: list[str]):
-        text = ("\n".join(groups) + "\n").encode() if groups else b""
-        raw = np.frombuffer(text, np.uint8)
-        behind = raw[(raw < 48) | (raw > 57)]
-        number = np.array(re.sub(rb"\D", b" ", text).split(), np.int64)
-        closed = (behind == 59) | (behind == 10)
-        before = np.concatenate([[0], np.cumsum(closed)])
-        of = before[:-1]
-        side = np.concatenate([[0], np.cumsum(behind == 124)])[:-1] - of
-        segment = np.concatenate([[0], np.cumsum(behind == 10)])[:-1]
-        n, n_groups = len(groups), int(before[-1])
-        a_at, b_at = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        self.n_a, self.n_b = np.bincount(segment[a_at], minlength=n), np.bincount(segment[b_at], minlength=n)
-        self.n_groups = np.bincount(segment[closed], minlength=n)
-        per_group = np.bincount(of[b_at], minlength=n_groups)
-        first = np.cumsum(per_group) - per_group
-        times = per_group[of[a_at]]  # links of each token of A
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        a = np.repeat(number[a_at], times)
-        b = number[b_at][np.repeat(first[of[a_at]], times) + nth]
-        self.n_links = np.bincount(np.repeat(segment[a_at], times), minlength=n)
+    """Of segments, from their groups as written by ``Pair.groups``: numbers per segment, the distinct pairs, and every link's pair."""
+
+    def __init__(self, groups: list[bytes]):
+        parts = [_parsed(groups[k : k + PARSED]) for k in range(0, len(groups), PARSED)]
+        self.n_a, self.n_b, self.n_groups, self.n_links, links = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*parts) if parts else [()] * 5))
         self.ends = np.cumsum(self.n_links)
-        pairs, self.pair = np.unique(a << 32 | b, return_inverse=True)
+        pairs, self.pair = np.unique(links, return_inverse=True)
         self.pair_a, self.pair_b = pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -165,13 +179,13 @@ def _expanded(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
-def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def blocks(docs: DataFrame, cuts: str) -> DataFrame:
     """The documents as blocks: block, doc_ids, ends (where each ends in ``places``), places (packed numbers of segments), segments (distinct)."""
     bounded_batches(docs.sparkSession)
     schema = StructType().add("block", LongType()).add("doc_ids", ArrayType(docs.schema["doc_id"].dataType)).add("ends", ArrayType(LongType())).add("places", BinaryType()).add("segments", ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, part, n_blocks = Pair.of(a_path, b_path).segments, TaskContext.get().partitionId(), 0
+        cut, part, n_blocks = Cutter(cuts), TaskContext.get().partitionId(), 0
         ids: list[pa.Array] = []
         known: dict[str, int] = {}
         places: list[np.ndarray] = []
@@ -207,15 +221,44 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def aligned_segments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segment, groups of each row of ``segments`` (segment); null groups where a tokenizer does not give the segment's bytes back."""
+def aligned_segments(held: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """The groups of each row of ``held`` (segment, block, number), gathered by block: block, numbers (packed), groups (compressed
+    lines, empty where a tokenizer does not give the segment's bytes back).  Equal segments come one after the other, so each
+    distinct one is tokenised and aligned once."""
+    import zstandard
+
+    def gathered(parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> pa.RecordBatch:
+        block, number = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        groups = [g for p in parts for g in p[2]]
+        order = np.lexsort((number, block))
+        starts = np.nonzero(np.diff(block[order], prepend=block[order[0]] - 1))[0]
+        rows = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
+        pack = zstandard.ZstdCompressor(level=3).compress
+        columns = [pa.array([block[r[0]] for r in rows], pa.int64()), pa.array([_packed(number[r]) for r in rows], pa.binary()), pa.array([pack(b"\n".join([groups[k] for k in r])) for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "numbers", "groups"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = Pair.of(a_path, b_path).groups
+        pair, last, known = Pair.of(a_path, b_path), None, None
+        parts, n = [], 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups(batch.column(0).to_pylist()), pa.string())], names=["segment", "groups"])
-
-    return segments.select("segment").mapInArrow(run, "segment string, groups string")
+            if not batch.num_rows:
+                continue
+            coded = batch.column("segment").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            fresh = distinct[1:] if distinct[0] == last else distinct
+            groups = ([known] if len(fresh) < len(distinct) else []) + [(g or "").encode() for g in (pair.groups(fresh) if fresh else [])]
+            last, known = distinct[-1], groups[-1]
+            parts.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), [groups[k] for k in coded.indices.to_pylist()]))
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield gathered(parts)
+                parts, n = [], 0
+        if parts:
+            yield gathered(parts)
+        Pair._of.clear()  # the worker lives on, and has other tasks that need the memory
+
+    together = held.select("segment", "block", "number").repartition("segment").sortWithinPartitions("segment")
+    return together.mapInArrow(run, "block long, numbers binary, groups binary")
 
 
 def _pair_documents(places: np.ndarray, ends: np.ndarray, links: Links) -> np.ndarray:
@@ -235,7 +278,7 @@ def _pair_documents(places: np.ndarray, ends: np.ndarray, links: Links) -> np.nd
 
 
 def composed(joined: DataFrame) -> DataFrame:
-    """A row per block of ``joined`` (a block of ``blocks`` with ``found``: number and groups of its segments): its documents' numbers and
+    """A row per block of ``joined`` (a block of ``blocks`` with ``found``: numbers and groups of its segments): its documents' numbers and
     digests, its places without those of documents that have no tokens, its links, and its pairs with their documents."""
     counts = ["n_a", "n_b", "n_groups", "n_links"]
     schema = StructType().add("block", LongType()).add("doc_ids", joined.schema["doc_ids"].dataType)
@@ -243,35 +286,39 @@ def composed(joined: DataFrame) -> DataFrame:
         schema = schema.add(name, ArrayType(LongType()))
     schema = schema.add("digests", ArrayType(StringType())).add("ends", ArrayType(LongType())).add("places", BinaryType()).add("link_ends", BinaryType()).add("link_pairs", BinaryType())
     for name in ("pair_a", "pair_b", "pair_docs"):
-        schema = schema.add(name, ArrayType(LongType()))
+        schema = schema.add(name, ArrayType(IntegerType()))
 
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[2:]]
 
-    def of_block(ends: np.ndarray, places: np.ndarray, number: np.ndarray, groups: list[str | None]) -> list[object]:
-        given = [k for k, g in enumerate(groups) if g is not None]
+    def of_block(ends: np.ndarray, places: np.ndarray, number: np.ndarray, groups: list[bytes]) -> list[object]:
+        given = [k for k, g in enumerate(groups) if g]
         links = Links([groups[k] for k in given])
         at, texts = np.full(len(groups), -1), [b""] * len(given)  # each number's place among the segments that have groups
         for n, k in enumerate(given):
-            at[number[k]], texts[n] = n, groups[k].encode()
+            at[number[k]], texts[n] = n, groups[k]
         places = at[places]
         whole = (_sums((places < 0).astype(np.int64), ends) == 0) & (np.diff(ends, prepend=0) > 0)
         places = places[np.repeat(whole, np.diff(ends, prepend=0))]
         ends = np.cumsum(np.where(whole, np.diff(ends, prepend=0), 0))
         sums = [_sums(x[places], ends) for x in (links.n_a, links.n_b, links.n_groups, links.n_links)]
-        digests, listed, start = [], places.tolist(), 0
+        digests, start = [], 0
         for end, ok in zip(ends.tolist(), whole.tolist(), strict=True):
-            digests.append(hashlib.sha256(b";".join([texts[k] for k in listed[start:end]])).hexdigest() if ok else "")
+            digests.append(hashlib.sha256(b";".join([texts[k] for k in places[start:end].tolist()])).hexdigest() if ok else "")
             start = end
-        return [*sums, digests, ends, _packed(places), _packed(links.ends), _packed(links.pair), links.pair_a, links.pair_b, _pair_documents(places, ends, links)]
+        return [*sums, digests, ends, _packed(places), _packed(links.ends), _packed(links.pair), *(x.astype(np.int32) for x in (links.pair_a, links.pair_b, _pair_documents(places, ends, links)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             block, ids, ends, places, found = (batch.column(name) for name in ("block", "doc_ids", "ends", "places", "found"))
             for k in range(batch.num_rows):
-                met = found[k].values  # None without a segment
-                number = met.field("number").to_numpy() if met is not None else np.empty(0, np.int64)
-                groups = met.field("groups").to_pylist() if met is not None else []
-                row = of_block(ends[k].values.to_numpy(), _unpacked(places[k].as_py()), number, groups)
+                number, groups = [np.empty(0, np.int64)], []
+                for part in found[k].as_py() or []:  # None without a segment
+                    number.append(_unpacked(part["numbers"]))
+                    groups += unpack(part["groups"]).split(b"\n")
+                row = of_block(ends[k].values.to_numpy(), _unpacked(places[k].as_py()), np.concatenate(number), groups)
                 yield pa.RecordBatch.from_arrays(
                     [block.slice(k, 1), ids.slice(k, 1), *(pa.array([x], kind) for x, kind in zip(row, kinds, strict=True))],
                     names=schema.names,
@@ -317,11 +364,11 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     zeros and an empty digest.  Rows that repeat a doc_id or a text count each.  An empty table gives no rows; doc_id may be of
     any type, and no column but it and text is read.  A document of any length is one part of one block.
     """
-    cut = stored(blocks(docs, a_path, b_path), "alignment-blocks", compression="zstd")
+    cut = stored(blocks(docs, Pair.of(a_path, b_path).cuts), "alignment-blocks", compression="zstd")
     held = cut.select("block", F.posexplode("segments").alias("number", "segment"))
-    known = stored(aligned_segments(held.select("segment").distinct(), a_path, b_path), "alignment-segments", compression="zstd")
-    found = held.join(known, "segment").groupBy("block").agg(F.collect_list(F.struct("number", "groups")).alias("found"))
+    found = aligned_segments(held, a_path, b_path).groupBy("block").agg(F.collect_list(F.struct("numbers", "groups")).alias("found"))
     whole = stored(composed(cut.drop("segments").join(found, "block", "left")), "alignment-composed", compression="zstd")
+    released(cut)
     pairs = whole.select("block", F.posexplode(F.arrays_zip("pair_a", "pair_b", "pair_docs")).alias("number", "x")).select("block", "number", "x.*")
     counts = pairs.groupBy("pair_a", "pair_b").agg(F.sum("pair_docs").alias("n"))
     counts = counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("pair_a")))

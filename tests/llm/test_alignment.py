@@ -104,9 +104,9 @@ def test_blocks_and_chunks_leave_no_trace(spark, monkeypatch):
     rows = [(k, f"{TEXTS[k % len(TEXTS)] or ''} word{k % 7} in row {k}") for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     monkeypatch.setattr(op, "BLOCK_CHARS", 200)
-    assert op.blocks(docs, A, B).count() > 10
+    assert op.blocks(docs, op.Pair.of(A, B).cuts).count() > 10
     assert found(op.align(docs, A, B)) == brute(rows)
-    links = op.Links(["1|2;3,4|5", "3|5", "1,2|7,8;1|2"])
+    links = op.Links([b"1|2;3,4|5", b"3|5", b"1,2|7,8;1|2"])
     places, ends = op.np.array([0, 1, 1, 2, 0, 2, 1]), op.np.array([2, 2, 5, 6, 7])
     whole = op._pair_documents(places, ends, links)
     assert dict(zip(zip(links.pair_a.tolist(), links.pair_b.tolist()), whole.tolist())) == {(1, 2): 3, (3, 5): 3, (4, 5): 2, (1, 7): 2, (1, 8): 2, (2, 7): 2, (2, 8): 2}
@@ -117,12 +117,13 @@ def test_blocks_and_chunks_leave_no_trace(spark, monkeypatch):
 def test_cuts_are_where_no_entry_crosses():
     pair = op.Pair.of(A, B)
     assert " " in pair.cuts and "\n" in pair.cuts and "\r" not in pair.cuts
+    cut = op.Cutter(pair.cuts)
     for text in TEXTS:
         if text:
-            assert "".join(pair.segments(" " + text)) == " " + text
+            assert "".join(cut(" " + text)) == " " + text
             whole = pair.a.encode(" " + text, add_special_tokens=False).ids
-            assert [k for s in pair.segments(" " + text) for k in pair.a.encode(s, add_special_tokens=False).ids] == whole
-            assert [k for s in pair.segments(" " + text) for k in pair.b.encode(s)] == pair.b.encode(" " + text)
+            assert [k for s in cut(" " + text) for k in pair.a.encode(s, add_special_tokens=False).ids] == whole
+            assert [k for s in cut(" " + text) for k in pair.b.encode(s)] == pair.b.encode(" " + text)
 
 
 @pytest.mark.parametrize("kind", ["int", "string"])
