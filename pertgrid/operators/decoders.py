@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import hash_uniform, safe_divide
+from . import quantiles
 
 
 def shift_and_renormalise(cells: DataFrame, effects: DataFrame, amplitude: float = 1.0) -> DataFrame:
@@ -80,35 +82,51 @@ def stochastic_rounding(expected: DataFrame, keys: list[str], value: str = "expe
     return expected.withColumn("rounded", (F.floor(value) + (hash_uniform(*keys, seed=seed) < F.col(value) - F.floor(value)).cast("long")).cast("long"))
 
 
-def _draws(df: DataFrame, keys: list[str], name: str, draw, seed: int) -> DataFrame:
-    """One integer per row by ``draw(rng, row)``; the generator is seeded by the row's keys, so reruns agree."""
+def _draws(df: DataFrame, keys: list[str], name: str, columns: list[str], draw: Callable[..., np.ndarray], seed: int) -> DataFrame:
+    """One integer per row, by ``draw(u, *columns)`` over whole batches; u in (0, 1) follows from the row's keys, so reruns agree."""
     tagged = df.withColumn("_seed", F.xxhash64(F.lit(seed), *keys))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], f"{name} long"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf[name] = np.array([draw(np.random.default_rng(int(s) & (2**63 - 1)), r) for s, r in zip(pdf.pop("_seed"), pdf.itertuples(), strict=True)], np.int64)
+            u = ((pdf.pop("_seed").to_numpy(np.int64).view(np.uint64) >> np.uint64(11)) + 0.5) / float(1 << 53)
+            pdf[name] = draw(u, *(pdf[c].to_numpy(float, na_value=0.0) for c in columns)).astype(np.int64)
             yield pdf
 
     return tagged.mapInPandas(run, schema)
 
 
+def _where(good: np.ndarray, tails: Callable[..., tuple[np.ndarray, np.ndarray]], lower: np.ndarray, upper: np.ndarray, start: np.ndarray, *parameters: np.ndarray) -> np.ndarray:
+    """Quantiles of the ``good`` rows, 0 elsewhere."""
+    out = np.zeros(len(good), np.int64)
+    own = [x[good] for x in parameters]
+    out[good] = quantiles.smallest(lambda k, r: tails(k, *(x[r] for x in own)), lower[good], upper[good], start[good])
+    return out
+
+
 def poisson_draw(df: DataFrame, keys: list[str], mean: str, seed: int = 0) -> DataFrame:
-    return _draws(df, keys, "drawn", lambda rng, r: rng.poisson(max(0.0, getattr(r, mean))), seed)
+    """Counts of the mean, by inversion; a mean that is null or not positive gives 0."""
+    return _draws(df, keys, "drawn", [mean], lambda u, m: _where(m > 0, quantiles.poisson, u, 1 - u, m, m), seed)
 
 
 def binomial_draw(df: DataFrame, keys: list[str], n: str, p: str, seed: int = 0) -> DataFrame:
-    return _draws(df, keys, "drawn", lambda rng, r: rng.binomial(int(getattr(r, n)), min(1.0, max(0.0, getattr(r, p)))), seed)
+    """Successes of n trials, by inversion; p is cut to 0..1."""
+
+    def draw(u: np.ndarray, trials: np.ndarray, share: np.ndarray) -> np.ndarray:
+        share = np.clip(share, 0, 1)
+        return _where((trials > 0) & (share > 0), quantiles.binomial, u, 1 - u, trials * share, trials, share)
+
+    return _draws(df, keys, "drawn", [n, p], draw, seed)
 
 
 def negative_binomial_draw(df: DataFrame, keys: list[str], mean: str, theta: str, seed: int = 0) -> DataFrame:
-    """Counts of the mean and dispersion 1 / theta; a theta that is not positive means Poisson."""
+    """Counts of the mean and dispersion 1 / theta, by inversion; a theta that is null or not positive means Poisson."""
 
-    def draw(rng, r):
-        m, t = max(0.0, getattr(r, mean)), getattr(r, theta)
-        return rng.poisson(rng.gamma(t, m / t)) if t and t > 0 and m > 0 else rng.poisson(m)
+    def draw(u: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
+        spread = (m > 0) & (t > 0)
+        return _where(spread, quantiles.negative_binomial, u, 1 - u, m, m, t) + _where((m > 0) & ~spread, quantiles.poisson, u, 1 - u, m, m)
 
-    return _draws(df, keys, "drawn", draw, seed)
+    return _draws(df, keys, "drawn", [mean, theta], draw, seed)
 
 
 def multinomial_draw(expected: DataFrame, key: str, item: str, value: str, total: str, seed: int = 0) -> DataFrame:
@@ -138,25 +156,23 @@ def multinomial_draw(expected: DataFrame, key: str, item: str, value: str, total
 
 
 def nb_quantile_map(df: DataFrame, keys: list[str], count: str, mu: str, new_mu: str, theta: float, seed: int = 0) -> DataFrame:
-    """Counts moved from one negative binomial to another at the same (randomised) quantile."""
+    """Counts moved from one negative binomial to another at the same (randomised) quantile, whatever their size.
 
-    def draw(rng, r):
-        x, old, new = int(getattr(r, count)), getattr(r, mu), getattr(r, new_mu)
-
-        def walk(m, stop):
-            p = (theta / (theta + m)) ** theta
-            cum, k = p, 0
-            while not stop(k, cum, p) and k < 1_000_000:
-                k += 1
-                p *= (k - 1 + theta) / k * m / (theta + m)
-                cum += p
-            return k, cum, p
-
-        _, cum, p = walk(old, lambda k, cum, p: k >= x)
-        u = min(cum - p * rng.random(), 1 - 1e-12)
-        return walk(new, lambda k, cum, p: cum >= u)[0]
+    The quantile lies at a hash's place within the count's own probability; both its tails are kept, so counts far above
+    their mean keep their place.  An old mean of 0 places a count by the hash alone, a new one of 0 gives 0.
+    """
 
-    return _draws(df, keys, "mapped", draw, seed)
+    def draw(u: np.ndarray, x: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        lower, upper, known, t = u.copy(), 1 - u, old > 0, np.full(len(u), float(theta))
+        if known.any():
+            _, above = quantiles.negative_binomial(x[known], old[known], t[known])
+            less, _ = quantiles.negative_binomial(np.maximum(x[known] - 1, 0), old[known], t[known])
+            m, k = old[known], x[known]
+            own = np.exp(quantiles.log_gamma(k + theta) - quantiles.log_gamma(k + 1) - math.lgamma(theta) + theta * np.log(theta / (theta + m)) + k * np.log(m / (theta + m)))
+            lower[known], upper[known] = np.where(k > 0, less, 0) + own * u[known], above + own * (1 - u[known])
+        return _where(new > 0, quantiles.negative_binomial, lower, np.maximum(upper, 1e-300), new, new, t)
+
+    return _draws(df, keys, "mapped", [count, mu, new_mu], draw, seed)
 
 
 def shifted_counts(cells: DataFrame, delta: DataFrame, depth_cap: float) -> DataFrame:

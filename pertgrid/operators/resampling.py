@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +135,7 @@ def sign_flip_p(values) -> float | None:
     """Share of the 2^n sign vectors under which the sum is as far from 0 as it is, counted in whole; null with a null value.
 
     Up to ``_HALVED`` values meet in the middle.  More are counted on the integers that they are multiples of (up to six
-    decimals), or, where there are none or their sum is too large, walked through; what neither can finish raises.
+    decimals), or, where there are none or their sum is too large, walked through; NaN where neither can finish.
     """
     if values is None or any(x is None or x != x for x in values):
         return None
@@ -152,15 +156,66 @@ def sign_flip_p(values) -> float | None:
                 return _flip_by_counts(size, least)
             break
     if len(v) > _HALVED + _WALKED:
-        raise ValueError(f"{len(v)} values without a common unit of at most {2 * _CELLS} in their sum: no exact p")
+        return math.nan
     return _flip_by_halves(v)
 
 
-def exact_sign_flip(differences: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
-    """Two-sided p of the mean under all 2^n sign vectors, for keys of any size; a task holds the values of one key."""
-    gathered = differences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("v")))).alias("vs"), F.count(F.lit(1)).alias("n"))
+def _signs(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """(len(keys), draws) signs, a bit each of a hash of the row's key and the draw's block of 64."""
+    words = -(-draws // 64)
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, words + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return 1.0 - 2.0 * np.unpackbits(x.view(np.uint8), axis=1)[:, :draws]
+
+
+def drawn_sign_flip(differences: DataFrame, keys: list[str], item: str, value: str, draws: int = 9999, seed: int = 0) -> DataFrame:
+    """keys, n, p, se: (1 + sign vectors as far from 0) / (1 + draws) over hashed sign vectors, for keys of any size.
+
+    Tasks add their rows' signed values draw by draw, so a key's values are never gathered; a null value makes p null.
+    """
+    kinds = ", ".join(f"`{k}` {differences.schema[k].dataType.simpleString()}" for k in keys)
+    rows = differences.select(*keys, F.xxhash64(item).alias("_key"), F.col(value).cast("double").alias("_v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                v, total = part["_v"].to_numpy(float), np.zeros(draws)
+                for at in range(0, len(v), 512):
+                    total += v[at : at + 512] @ _signs(part["_key"].to_numpy()[at : at + 512], draws, seed)
+                yield pd.DataFrame({**dict(zip(keys, ([x] * draws for x in (key if isinstance(key, tuple) else (key,))), strict=True)), "draw": np.arange(draws), "total": total})
+
+    sums = rows.mapInPandas(run, f"{kinds}, draw int, total double").groupBy(*keys, "draw").agg(F.sum("total").alias("total"))
+    own = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("_own"), F.sum(F.abs("_v")).alias("_size"), F.count_if(F.col("_v").isNull() | F.isnan("_v")).alias("_gone"))
+    renamed = own.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "_own", "_size", "_gone")
+    met = sums.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    far = F.abs("total") >= F.abs("_own") - 1e-12 * F.greatest(F.lit(1.0), F.col("_size"))
+    p = met.groupBy(*keys).agg(F.max("n").alias("n"), ((1 + F.count_if(far)) / (draws + 1)).alias("p"), F.max("_gone").alias("_gone"))
+    p = p.withColumn("p", F.when(F.col("_gone") == 0, F.col("p")))
+    return p.select(*keys, "n", "p", F.sqrt(F.col("p") * (1 - F.col("p")) / draws).alias("se"))
+
+
+def exact_sign_flip(differences: DataFrame, keys: list[str], item: str, value: str, gathered: int = 4096, draws: int = 9999) -> DataFrame:
+    """keys, n, p, se, method: two-sided p of the mean under all 2^n sign vectors, for keys of any size.
+
+    Keys of up to ``gathered`` values are counted exactly in one task each (``method`` exact, se 0) where that can be done: up to 56
+    values, or any number with a common unit.  All others get ``draws`` hashed sign vectors (``method`` drawn) and the standard error of
+    that p.  A null value makes p null.
+    """
+    sizes = differences.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    named = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    sized = differences.join(named, same).drop(*[f"_{k}" for k in keys])
+    groups = sized.where(F.col("_n") <= gathered).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("v")))).alias("vs"), F.count(F.lit(1)).alias("n"))
+    gone = F.exists("vs", lambda x: x["v"].isNull() | F.isnan(x["v"]))
     p = F.pandas_udf(lambda vs: vs.map(sign_flip_p).astype("float64"), "double")
-    return gathered.select(*keys, "n", F.nanvl(p(F.col("vs.v")), F.lit(None)).alias("p"))
+    counted = groups.select(*keys, "n", gone.alias("gone"), p(F.col("vs.v")).alias("p")).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+    exact = counted.where(F.col("gone") | F.col("p").isNotNull()).select(*keys, "n", "p", F.when(F.col("p").isNotNull(), 0.0).alias("se"), F.lit("exact").alias("method"))
+    done = exact.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    rest = differences.join(done, same, "left_anti")
+    return exact.unionByName(drawn_sign_flip(rest, keys, item, value, draws).withColumn("method", F.lit("drawn")))
 
 
 def hypergeometric_overlap(population: int, marked: int, drawn: int) -> list[float]:

@@ -269,7 +269,7 @@ def empirical_p(spark, d):
 @query("exact_sign_flip", None)
 def exact_sign_flip(spark, d):
     x = R.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("i"), (F.col("s_acctbal") - 4000).alias("v"))
-    return resampling.exact_sign_flip(x, ["k"], "i", "v").withColumn("p", r("p"))
+    return resampling.exact_sign_flip(x, ["k"], "i", "v").withColumn("p", r("p")).withColumn("se", r("se"))
 
 
 @query("set_comparison", sql("observations", body="SELECT coalesce(a.context, b.context) AS context, count(*) FILTER (a.gene IS NOT NULL AND b.gene IS NOT NULL) AS shared, count(*) FILTER (a.gene IS NULL) AS gained, count(*) FILTER (b.gene IS NULL) AS lost, round(count(*) FILTER (a.gene IS NOT NULL AND b.gene IS NOT NULL) / count(*), 6) AS jaccard FROM (SELECT context, gene FROM observations WHERE n_cells < 3) a FULL JOIN (SELECT context, gene FROM observations WHERE n_cells > 1) b ON a.context = b.context AND a.gene = b.gene GROUP BY 1"))

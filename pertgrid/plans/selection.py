@@ -8,11 +8,11 @@ from . import registry as R
 from .registry import query, r, sql
 
 
-@query("rows_with_roles", sql("obs", body="SELECT row_id, 'orders' AS context, guide AS exact_construct_id, CASE WHEN is_control THEN 'control' ELSE 'target' END AS control_role, substr(guide, 3) IN ('g1', 'g2') AS in_panel FROM obs WHERE batch >= 1993 AND (is_control OR substr(guide, 3) IN ('g1', 'g2'))"))
+@query("rows_with_roles", sql("obs", body="SELECT row_id, 'orders' AS context, guide AS exact_construct_id, CASE WHEN is_control THEN 'control' ELSE 'target' END AS control_role, substr(guide, 3) IN ('g1', 'g2') AS in_panel FROM obs WHERE batch >= 1996 AND (is_control OR substr(guide, 3) IN ('g1', 'g2'))"))
 def rows_with_roles(spark, d):
     o = R.obs(spark, d)
     panel = o.where(F.substring("guide", 3, 9).isin("g1", "g2")).select("guide")
-    return selection.with_roles(o, F.col("batch") >= 1993, F.col("is_control"), panel, "guide", "orders").select("row_id", "context", "exact_construct_id", "control_role", "in_panel")
+    return selection.with_roles(o, F.col("batch") >= 1996, F.col("is_control"), panel, "guide", "orders").select("row_id", "context", "exact_construct_id", "control_role", "in_panel")
 
 
 @query("remapped_categories", sql("obs", body="SELECT row_id, guide, dense_rank() OVER (ORDER BY guide) - 1 AS code FROM obs WHERE batch = 1995 AND target <> '3-MEDIUM'"))
@@ -31,9 +31,9 @@ def downstream_mask(spark, d):
     return R.effects(spark, d).select("context", "target", "gene_id", selection.is_downstream(F.col("gene_id"), F.col("gene_id"), F.col("target"), 45).alias("downstream"))
 
 
-@query("label_select", sql("obs", body="SELECT row_id, CASE WHEN batch < 1993 THEN 'excluded' WHEN is_control THEN 'NT' ELSE guide END AS label FROM obs"))
+@query("label_select", sql("obs", body="SELECT row_id, CASE WHEN batch < 1996 THEN 'excluded' WHEN is_control THEN 'NT' ELSE guide END AS label FROM obs"))
 def label_select(spark, d):
-    return R.obs(spark, d).select("row_id", selection.first_label((F.col("batch") < 1993, "excluded"), (F.col("is_control"), "NT"), default=F.col("guide")).alias("label"))
+    return R.obs(spark, d).select("row_id", selection.first_label((F.col("batch") < 1996, "excluded"), (F.col("is_control"), "NT"), default=F.col("guide")).alias("label"))
 
 
 @query("strata_support", sql("obs", x="SELECT target, batch, row_id % 97 AS split, count(*) AS total FROM obs WHERE NOT is_control GROUP BY ALL", c="SELECT batch, row_id % 97 AS split, count(*) AS n FROM obs WHERE is_control GROUP BY ALL", body="SELECT target, x.batch, x.split, total, coalesce(n, 0) AS n_controls, coalesce(n, 0) > 0 OR total = 0 AS available FROM x LEFT JOIN c ON x.batch = c.batch AND x.split = c.split"))
@@ -103,10 +103,10 @@ def arm_summary(spark, d):
     return s.select("context", "target", "n", "n_overlap", r("mean_all").alias("mean_all"), r("mean_overlap").alias("mean_overlap"), "eligible")
 
 
-@query("wide_metrics", sql("obs", body="SELECT guide, max(n) FILTER (batch = 1993) AS m1993, max(n) FILTER (batch = 1994) AS m1994 FROM (SELECT guide, batch, count(*)::DOUBLE AS n FROM obs GROUP BY ALL) GROUP BY guide HAVING m1993 IS NOT NULL AND m1994 IS NOT NULL"))
+@query("wide_metrics", sql("obs", body="SELECT guide, max(n) FILTER (batch = 1996) AS m1996, max(n) FILTER (batch = 1997) AS m1997 FROM (SELECT guide, batch, count(*)::DOUBLE AS n FROM obs GROUP BY ALL) GROUP BY guide HAVING m1996 IS NOT NULL AND m1997 IS NOT NULL"))
 def wide_metrics(spark, d):
     long = R.obs(spark, d).groupBy("guide", F.concat(F.lit("m"), F.col("batch").cast("string")).alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return selection.wide_metrics(long, ["guide"], ["m1993", "m1994"])
+    return selection.wide_metrics(long, ["guide"], ["m1996", "m1997"])
 
 
 @query("markdown_floats", "SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN '-' ELSE printf('%.3f', o_totalprice) END AS shown FROM orders")
