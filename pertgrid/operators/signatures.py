@@ -230,13 +230,22 @@ def lasso_path(gram: np.ndarray, xy: np.ndarray, lambdas: list[float], rounds: i
     return out
 
 
-def matching_pursuit(gram: np.ndarray, xy: np.ndarray, k: int, first: int | None = None) -> np.ndarray:
-    """Orthogonal matching pursuit on sufficient statistics; ``first`` is always chosen."""
+def _at_most_zero(gram: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Least squares with the first weight at most 0: where it would be positive, the optimum has it at 0."""
+    w = np.linalg.lstsq(gram, xy, rcond=None)[0]
+    if w[0] > 0:
+        w = np.append(0.0, np.linalg.lstsq(gram[1:, 1:], xy[1:], rcond=None)[0] if len(xy) > 1 else [])
+    return w
+
+
+def matching_pursuit(gram: np.ndarray, xy: np.ndarray, k: int, first: int | None = None, first_negative: bool = False) -> np.ndarray:
+    """Orthogonal matching pursuit on sufficient statistics; ``first`` is always chosen, with a weight of at most 0 if ``first_negative``."""
     chosen, w = ([first] if first is not None else []), np.zeros(len(xy))
     while True:
         if chosen:
             w = np.zeros(len(xy))
-            w[chosen] = np.linalg.lstsq(gram[np.ix_(chosen, chosen)], xy[chosen], rcond=None)[0]
+            own = gram[np.ix_(chosen, chosen)]
+            w[chosen] = _at_most_zero(own, xy[chosen]) if first_negative and first is not None else np.linalg.lstsq(own, xy[chosen], rcond=None)[0]
         if len(chosen) >= min(k, len(xy)):
             return w
         r = np.abs(xy - gram @ w) / np.sqrt(np.maximum(np.diag(gram), 1e-300))
@@ -244,8 +253,12 @@ def matching_pursuit(gram: np.ndarray, xy: np.ndarray, k: int, first: int | None
         chosen.append(int(r.argmax()))
 
 
-def sparse_signatures(statistics: DataFrame, key: str, k: int) -> DataFrame:
-    """Pursuit per key from its own statistics (i, j, g, r): the p x p numbers of one key are what a task holds."""
+def sparse_signatures(statistics: DataFrame, key: str, k: int, anchored: bool = False) -> DataFrame:
+    """Pursuit per key from its own statistics (i, j, g, r): the p x p numbers of one key are what a task holds.
+
+    ``anchored``: a whole-number key names its own column, which is always chosen and never gets a positive weight; it has a row
+    with weight 0 where the bound holds it.
+    """
     kind = next(f.dataType.simpleString() for f in statistics.schema.fields if f.name == key)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,8 +266,9 @@ def sparse_signatures(statistics: DataFrame, key: str, k: int) -> DataFrame:
         g, r = np.zeros((p, p)), np.zeros(p)
         g[pdf.i, pdf.j] = pdf.g
         r[pdf.i] = pdf.r
-        w = matching_pursuit(g, r, k)
-        keep = np.nonzero(w)[0]
+        first = int(pdf[key].iloc[0]) if anchored and 0 <= int(pdf[key].iloc[0]) < p else None
+        w = matching_pursuit(g, r, k, first, anchored)
+        keep = np.nonzero((w != 0) | (np.arange(p) == (-1 if first is None else first)))[0]
         return pd.DataFrame({key: pdf[key].iloc[0], "i": keep, "weight": w[keep]})
 
     return statistics.groupBy(key).applyInPandas(fit, f"{key} {kind}, i long, weight double")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crossfit
+from ..operators import bounded, crossfit
+from ..operators.transfer import direction, realise
 from . import registry as R
 from .calibration import _BASE, _COUNTS, _base, _value, effects_of, guide_counts
 from .registry import query, r, sql
@@ -106,3 +107,31 @@ def imputed_ridge(spark, d):
     names = ["size", "spread", "returned", "balance"]
     found = crossfit.ridge_predictions(rows, crossfit.imputed_ridge(rows, names, "scale", 1.0), names)
     return found.select("target", "fold", r("scale").alias("scale"), r("predicted").alias("predicted"))
+
+
+def _closed(change):
+    """The effect on a gene of expression ``base`` of a change in the logarithm, clipped where expression would be negative."""
+    return direction(realise(F.col("base"), change), F.col("base"))
+
+
+def _fold_rows(spark: SparkSession, d: str) -> DataFrame:
+    """outer, x, y, base (CPM of the gene in O), shared (mean x of the gene, its own perturbation left out) and specific (x less it)."""
+    pairs, folds, _ = inputs(spark, d)
+    base = _base(guide_counts(spark, d)).where("context = 'O'").select("gene_id", F.col("base_cpm").alias("base"))
+    shared = pairs.where("target <> gene_id").groupBy("gene_id").agg(F.avg("x").alias("shared"))
+    rows = pairs.join(base, "gene_id").join(shared, "gene_id", "left").na.fill(0.0, ["shared"]).join(folds.select("target", "outer"), "target")
+    return rows.withColumn("specific", F.col("x") - F.col("shared"))
+
+
+@query("fold_change_scale", None)
+def fold_change_scale(spark, d):
+    """Each fold's scale of the source's effects, fitted to the others in fold-change space between 0 and 1.5."""
+    found = bounded.bounded_fit(_fold_rows(spark, d).persist(), "outer", "y", lambda a: _closed(a * F.col("x")), [(0.0, 1.5)])
+    return found.select("outer", r(F.get("parameters", F.lit(0)), 4).alias("scale"), r("loss").alias("loss"))
+
+
+@query("shared_specific_fit", None)
+def shared_specific_fit(spark, d):
+    """Each fold's weights of the specific and the shared part, between 0 and 2."""
+    found = bounded.bounded_fit(_fold_rows(spark, d).persist(), "outer", "y", lambda a, b: _closed(a * F.col("specific") + b * F.col("shared")), [(0.0, 2.0), (0.0, 2.0)], 1e-3)
+    return found.select("outer", r(F.get("parameters", F.lit(0)), 3).alias("specific"), r(F.get("parameters", F.lit(1)), 3).alias("shared"), r("loss").alias("loss"))
