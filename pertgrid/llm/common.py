@@ -103,12 +103,13 @@ def _marked(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int, n_want
     return own.join(F.broadcast(table), bucket, "left").withColumn(maybe, F.coalesce(hit, F.lit(False))), maybe
 
 
-def narrowed(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int = 27) -> DataFrame:
+def narrowed(df: DataFrame, key: Column, wanted: DataFrame, max_bits: int = 27, n_wanted: int | None = None) -> DataFrame:
     """Rows of ``df`` whose key may be among the one column of ``wanted``: all that are, and a few others.
 
-    It keeps most other rows out of the shuffle of the exact join that follows.
+    It keeps most other rows out of the shuffle of the exact join that follows.  ``n_wanted``, where it is known to be about
+    the number of wanted keys, saves counting them.
     """
-    marked, maybe = _marked(df, key, wanted, max_bits, wanted.count())
+    marked, maybe = _marked(df, key, wanted, max_bits, wanted.count() if n_wanted is None else n_wanted)
     return marked.where(F.col(maybe)).select(df.columns)
 
 

@@ -197,12 +197,13 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough.  ``docs`` has one row per doc_id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    docs = narrowed(docs, F.col("doc_id"), ids)
+    sides = [pairs.select(F.col(side).alias("id")).distinct() for side in ("a", "b")]
+    docs = narrowed(docs, F.col("doc_id"), sides[0].unionByName(sides[1]), n_wanted=2 * pairs.count())  # a stored table: its count is read
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     salted = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     members = salted.join(docs.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "text", "salt")
-    centres = salted.select("a", "salt").distinct().join(docs.hint("merge"), F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("long").alias("b"), "text", "salt")
+    each = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt"))  # a part without members does no harm
+    centres = each.join(docs.hint("merge"), F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("long").alias("b"), "text", "salt")
     dealt = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.select("a", "b", "text").mapInArrow(_verify_batches, "a long, b long")
 
