@@ -30,6 +30,9 @@ PIECE_BYTES = 1 << 20
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: CRC-32's polynomial, reflected (a fixed value).
 _POLYNOMIAL = 0xEDB88320
+#: Parquet options of the stored blocks.  A reader holds all blocks of a row group at once and a writer those of an unfinished one, so a group is
+#: two blocks: what a task holds does not grow with the part of the table that it is dealt.
+_SMALL_GROUPS = {"compression": "zstd", "parquet.block.row.count.limit": "2"}
 #: Lengths up to which the effect of appending so many bytes to a CRC is looked up.
 _SHIFTS = 48
 
@@ -218,7 +221,7 @@ def resample(docs: DataFrame, target: DataFrame, seed: int = SEED, percent: int
     repeat a doc_id get the same noise and a rank each; equal scores rank by doc_id, a null one last.  Empty ``docs`` give no
     rows.  Very long texts are cut into words piece by piece.
     """
-    blocks = stored(csr_blocks(docs, buckets), "importance-blocks", compression="zstd")
+    blocks = stored(csr_blocks(docs, buckets), "importance-blocks", **_SMALL_GROUPS)
     aims = csr_blocks(target.select(F.lit(0).alias("doc_id"), "text"), buckets)
     return drawn(weights(blocks, gains(column_sums(blocks, buckets), column_sums(aims, buckets), buckets)), seed, percent, min_words)
 

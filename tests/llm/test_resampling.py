@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pertgrid.llm import importance_resampling as op
 
@@ -99,3 +100,20 @@ def test_drawn_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(TEXTS)], "doc_id long, text string, weight int")
     kept = op.resampled_documents(docs, spark.createDataFrame([(t,) for t in TARGET], "text string"), buckets=BUCKETS)
     assert kept.columns == docs.columns and kept.count() == 15
+
+
+def test_stored_blocks_lie_in_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from pertgrid.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:") + "/importance-blocks-*"
+    before = set(glob.glob(folder))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.hex(F.xxhash64("doc_id", i))), " ")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id")).withColumn("text", text)
+    op.resample(docs, spark.createDataFrame([("one two",)], "text string"))
+    (new,) = set(glob.glob(folder)) - before
+    groups = [m.row_group(k).total_byte_size for f in glob.glob(new + "/*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert sum(groups) > 40 << 20 and max(groups) <= 16 << 20
