@@ -27,8 +27,6 @@ SMOOTHING = 16
 PRIOR = 16
 #: Thousandths of a natural logarithm a feature.  By held-out labels of sf0.1 (README) trusted documents are above it.
 MIN_SCORE = -175
-#: About so many trusted documents fit the target at most, those of the smallest hashes; their ids are broadcast.
-TRUSTED_DOCS = 1 << 17
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = r"[#*$%&|<>]"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -52,9 +50,12 @@ def _bucket(feature: Column, buckets: int) -> Column:
     return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
 
-def trusted_ids(labels: DataFrame, max_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """The distinct doc_id labelled of quality 1 and not toxic; beyond ``max_docs`` of them about so many, chosen by hash."""
+def trusted_ids(labels: DataFrame, max_docs: int | None = None) -> DataFrame:
+    """The distinct doc_id labelled of quality 1 and not toxic: all of them, which is what ``judge`` fits on.  A caller that wants no more than
+    about ``max_docs`` gets a choice by hash."""
     ids = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    if max_docs is None:
+        return ids
     n = ids.count()
     if n <= max_docs:
         return ids
@@ -65,8 +66,9 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFram
     """One row: ``gains``, an array of ``buckets`` long.  ``trusted`` has the distinct doc_id of the target.
 
     A null text has no features; rows that repeat a doc_id count each.  Without a feature in the target all gains are 0.
+    Spark broadcasts ``trusted`` while it is below the session's threshold.
     """
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("in_target", F.lit(1))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("in_target", F.lit(1)), "doc_id", "left")
     w = marked.select(words(F.col("text")).alias("w"), F.coalesce("in_target", F.lit(0)).alias("in_target"))
     following = F.slice("w", F.lit(2), F.size("w"))  # one shorter: the last word has none
     pairs = w.select("in_target", F.explode(F.arrays_zip(F.col("w").alias("word"), following.alias("next"))).alias("x"))

@@ -92,3 +92,8 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 200, 2)], "doc_id long, quality int, toxic int")
     for r in q.judge(docs, labels).where("NOT base_failed").collect():
         assert r.kept == (r.doc_id < 200)
+
+
+def test_every_trusted_document_is_fitted_on(spark):
+    labels = spark.range(140_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert q.trusted_ids(labels).count() == 140_000
