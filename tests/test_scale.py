@@ -2,6 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from pertgrid.operators import resampling
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString().lower()
+
+
+def test_bootstrap_draws_are_never_broadcast(spark):
+    items = spark.range(50).select("id", (F.col("id") * 1.5).alias("v"), F.lit(2.0).alias("w"))
+    for ci in (resampling.bootstrap_mean_ci(items, "id", "v", 40), resampling.bootstrap_ratio_ci(items, "id", "v", "w", 40)):
+        below = plan(ci).split("== physical plan ==")[1]
+        assert "shuffledhashjoin" in below and "broadcasthashjoin" not in below
+
 
 def test_roles_are_of_every_year_that_the_first_sql_had(spark, tmp_path):
     from pertgrid.plans import QUERIES
