@@ -1,14 +1,29 @@
 """Steps whose work, memory or results must not turn with the size of the input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pertgrid.operators import resampling
+from pertgrid.operators import ranks, resampling
 
 
 def plan(df):
     return df._jdf.queryExecution().toString().lower()
 
 
+def test_benjamini_hochberg_walks_each_key_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(i), float(p)) for k in range(3) for i, p in enumerate(np.round(rng.uniform(size=40) ** 3, 2))] + [(1, 99, None)]
+    found = ranks.benjamini_hochberg(spark.createDataFrame(rows, "k int, i int, p double"), "p", ["k"], tie="i")
+    assert "currentrow$(), unboundedfollowing" not in plan(found)
+    got = {(r.k, r.i): r.p_adj for r in found.collect()}
+    assert got.pop((1, 99)) is None
+    for k in range(3):
+        own = sorted((p, i) for key, i, p in rows if key == k and p is not None)
+        scaled = [p * len(own) / (n + 1) for n, (p, _) in enumerate(own)]
+        assert [got[k, i] for _, i in own] == pytest.approx([min(1.0, min(scaled[n:])) for n in range(len(own))])
+
+
 def test_bootstrap_draws_are_never_broadcast(spark):
     items = spark.range(50).select("id", (F.col("id") * 1.5).alias("v"), F.lit(2.0).alias("w"))
     for ci in (resampling.bootstrap_mean_ci(items, "id", "v", 40), resampling.bootstrap_ratio_ci(items, "id", "v", "w", 40)):
