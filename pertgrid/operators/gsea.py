@@ -2,8 +2,8 @@
 
 A set's score is the extreme of a running sum over the ranked genes, which moves between two members by a known amount; so it
 follows from the members' places alone.  A permutation gives every gene another place, by the order of a hash of permutation
-and gene; the extremes of all sets of a block are found together.  Rankings meet blocks of sets, so a task holds one ranking and
-one block, whatever the number of either; what leaves it is one row per set with its null scores.
+and gene; the extremes of all sets are found together.  Genes meet their sets before they are gathered by ranking, so a task holds one
+ranking with the memberships of its own genes, whatever the number of rankings and sets; what leaves it is one row per set with its null scores.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Memberships of a block of sets.
+#: Memberships of a ranking whose null scores are found together, at about most.
 BLOCK_MEMBERS = 1 << 20
 
 
@@ -61,43 +62,45 @@ def null_scores(rankings: DataFrame, sets: DataFrame, permutations: int, seed: i
     members within it: those below ``min_size`` or above ``max_size`` give no row.
     """
     members = sets.select("set", F.col("gene_id").cast("long").alias("gene_id")).distinct()
-    n = max(1, -(-members.count() // BLOCK_MEMBERS))
-    blocks = members.groupBy("set").agg(F.collect_list("gene_id").alias("genes")).withColumn("block", F.pmod(F.xxhash64("set"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("set", "genes")).alias("sets"))
-    ranked = rankings.where("score IS NOT NULL AND NOT isnan(score)").groupBy("ranking").agg(F.collect_list(F.struct(F.col("gene_id").cast("long").alias("gene_id"), F.col("score").cast("double").alias("score"))).alias("entries"))
-    met = ranked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("ranking", "entries", "sets")
+    of_gene = members.where("set IS NOT NULL").groupBy("gene_id").agg(F.collect_list("set").alias("sets"))
+    known = rankings.where("score IS NOT NULL AND NOT isnan(score)").select("ranking", F.col("gene_id").cast("long").alias("gene_id"), F.col("score").cast("double").alias("score"))
+    met = known.join(of_gene, "gene_id", "left").groupBy("ranking").agg(F.collect_list(F.struct("gene_id", "score", "sets")).alias("entries"))
     kinds = {c: df.schema[c].dataType for df, c in ((rankings, "ranking"), (sets, "set"))}
 
-    def one(ranking: pa.Array, entries: pa.StructArray, block: pa.StructArray) -> pa.RecordBatch | None:
+    together = BLOCK_MEMBERS
+
+    def one(ranking: pa.Array, entries: pa.StructArray) -> Iterator[pa.RecordBatch]:
         gene, score = entries.field("gene_id").to_numpy(), entries.field("score").to_numpy()
-        order = np.lexsort((gene, -score))
-        weight, by_gene = np.abs(score[order]) ** power, np.argsort(gene)
-        axis = gene[by_gene]
-        place = np.empty(len(gene), np.int64)
-        place[order] = np.arange(len(gene))
+        order, by_gene = np.lexsort((gene, -score)), np.argsort(gene)
+        weight, axis = np.abs(score[order]) ** power, gene[by_gene]
+        place, nth = np.empty(len(gene), np.int64), np.empty(len(gene), np.int64)
+        place[order] = nth[by_gene] = np.arange(len(gene))
         place = place[by_gene]
-        lists = block.field("genes")
-        owner, wanted = np.repeat(np.arange(len(block)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(axis, wanted), len(axis) - 1)
-        known = axis[at] == wanted
-        owner, at = owner[known], at[known]
+        lists = entries.field("sets")
+        named = lists.flatten().dictionary_encode()
+        block, owner = named.dictionary, named.indices.to_numpy()
+        at = np.repeat(nth, pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        by_owner = np.lexsort((at, owner))
+        owner, at = owner[by_owner], at[by_owner]
         sizes = np.bincount(owner, minlength=len(block))
         good = (sizes >= max(1, min_size)) & (sizes <= max_size)
         keep, number = good[owner], np.cumsum(good) - 1
         owner, at, sizes = number[owner[keep]], at[keep], sizes[good]
-        if not len(sizes):
-            return None
-        es = scores(place[at], owner, sizes, weight)
-        null = np.stack([scores(permuted_places(axis, p, seed)[at], owner, sizes, weight) for p in range(permutations)], axis=1) if permutations else np.empty((len(sizes), 0))
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([ranking] * len(sizes)), block.field("set").filter(pa.array(good)), pa.array(sizes), pa.array(es), pa.array(list(null), pa.list_(pa.float64()))], names=["ranking", "set", "size", "es", "null"]
-        )
+        kept, ends = block.filter(pa.array(good)), np.cumsum(sizes)
+        cuts = np.nonzero(np.diff((ends - 1) // together, prepend=-1))[0].tolist() + [len(sizes)]
+        for first, last in zip(cuts, cuts[1:]):
+            span = slice(ends[first] - sizes[first], ends[last - 1])
+            own, its, n = owner[span] - first, at[span], sizes[first:last]
+            es = scores(place[its], own, n, weight)
+            null = np.stack([scores(permuted_places(axis, p, seed)[its], own, n, weight) for p in range(permutations)], axis=1) if permutations else np.empty((len(n), 0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([ranking] * len(n)), kept.slice(first, last - first), pa.array(n), pa.array(es), pa.array(list(null), pa.list_(pa.float64()))], names=["ranking", "set", "size", "es", "null"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                out = one(batch.column("ranking").slice(k, 1), batch.column("entries")[k].values, batch.column("sets")[k].values)
-                if out is not None:
-                    yield out
+                yield from one(batch.column("ranking").slice(k, 1), batch.column("entries")[k].values)
 
     return met.mapInArrow(run, f"ranking {kinds['ranking'].simpleString()}, set {kinds['set'].simpleString()}, size long, es double, null array<double>")
 

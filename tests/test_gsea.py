@@ -61,3 +61,12 @@ def test_blocks_leave_no_trace_and_empty_inputs(spark, monkeypatch):
     assert np.allclose(np.array(sorted(tuple(r)[1:] for r in gsea.preranked(rankings, lib, 20, min_size=2).collect()), float), np.array([r[1:] for r in whole], float))
     assert gsea.preranked(rankings.where("1 = 0"), lib, 5).collect() == [] and gsea.preranked(rankings, lib.where("1 = 0"), 5).collect() == []
     assert gsea.preranked(rankings, lib, 5, min_size=100).collect() == []
+
+
+def test_a_ranking_meets_only_the_sets_of_its_genes(spark):
+    rankings = spark.createDataFrame([("a", g, float(g)) for g in range(6)], "ranking string, gene_id long, score double")
+    lib = spark.range(3000).selectExpr("concat('s', id % 3) AS set", "id AS gene_id")
+    out = gsea.null_scores(rankings, lib, 2, min_size=1)
+    plan = out._jdf.queryExecution().toString()
+    assert "sets" in plan and "explode" not in plan  # no ranking is copied for blocks of all sets
+    assert sorted((r.set, r.size) for r in out.collect()) == [("s0", 2), ("s1", 2), ("s2", 2)]
