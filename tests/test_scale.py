@@ -38,3 +38,10 @@ def test_roles_are_of_every_year_that_the_first_sql_had(spark, tmp_path):
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string")
     orders.withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(r.row_id for r in QUERIES["rows_with_roles"](spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_sign_flips_are_counted_once_and_dealt_over_tasks(spark):
+    rows = [(k, i, float((7 * i + k) % 5) + 0.25) for k in range(12) for i in range(6)]
+    found = resampling.exact_sign_flip(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], "i", "v")
+    assert {r.k: r.p for r in found.collect()} == {k: pytest.approx(resampling.sign_flip_p([v for key, _, v in rows if key == k])) for k in range(12)}
+    assert "repartition_by_num" in plan(found) and "inmemorytablescan" in plan(found)
