@@ -36,8 +36,11 @@ _HEADER = struct.Struct("<4sIIQ")
 SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, image binary"
 
 #: Memory of the distinct pieces whose ids a Python worker keeps: by number, at some 170 bytes each with the table, and by
-#: the characters and bytes in them.  Longer pieces than the last number are not kept.
-CACHE_PIECES, CACHE_BYTES, PIECE_CHARS = 60_000, 4 << 20, 64
+#: the characters and bytes in them.  Longer pieces than the last number are not kept.  Half of it is for pieces met since the
+#: last change of generations, half for those of the one before.
+CACHE_PIECES, CACHE_BYTES, PIECE_CHARS = 240_000, 16 << 20, 64
+#: Texts encoded together, and their characters, after which no more are added.
+TEXTS, TEXT_CHARS = 64, 1 << 17
 #: Texts of these characters alone are cut into pieces here.  For them normalisation changes nothing but
 #: white space and case, one character at a time.  All other texts go to the tokenizer whole.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]*")
@@ -172,7 +175,7 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids, self.held = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.ids, self.older, self.held = Tokenizer.from_file(path), {}, {}, 0
         kind = json.loads(self.tokenizer.to_str())
         self.known = kind["normalizer"] == _NORMALIZER and kind["pre_tokenizer"] == _PRE_TOKENIZER
         self.known &= not kind["truncation"] and not kind["padding"] and all(t["content"].startswith("<|") for t in kind["added_tokens"])
@@ -186,29 +189,38 @@ class PieceEncoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.known or "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = _PIECE.findall(text.lower())
-        missing = list(set(pieces).difference(self.ids))
-        own: dict[str, bytes] = {}
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces that are new to the texts go through the model together."""
+        cut = [_PIECE.findall(t.lower()) if self.known and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        new = set().union(*filter(None, cut)).difference(self.ids)
+        own = {p: self.older[p] for p in new if p in self.older}
+        missing = list(new.difference(own))
         if missing:
             # with white space between them the pieces stay the pieces of this one text
             found = self.model.encode(" ".join(missing), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(missing)))).tolist()
-            own = {p: raw[start:end] for p, start, end in zip(missing, [0, *ends], ends, strict=False)}
-        known = self.ids
-        out = b"".join([own[p] if p in own else known[p] for p in pieces]) if own else b"".join(map(known.__getitem__, pieces))
+            own.update((p, raw[start:end]) for p, start, end in zip(missing, [0, *ends], ends, strict=False))
+        self.ids.update(own)
+        of = self.ids.__getitem__
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(of, p)) for t, p in zip(texts, cut, strict=True)]
         self._keep(own)
         return out
 
     def _keep(self, own: dict[str, bytes]) -> None:
+        """Keeps the new pieces, or takes them out again; a full generation becomes the older one."""
         kept = {p: x for p, x in own.items() if len(p) <= PIECE_CHARS}
         size = sum(len(p) + len(x) for p, x in kept.items())
-        if len(self.ids) + len(kept) > CACHE_PIECES or self.held + size > CACHE_BYTES:
-            self.ids, self.held = {}, 0
-        if len(kept) <= CACHE_PIECES and size <= CACHE_BYTES:
-            self.ids.update(kept)
+        full = len(self.ids) - len(own) + len(kept) > CACHE_PIECES // 2 or self.held + size > CACHE_BYTES // 2
+        if full or len(kept) < len(own):
+            for p in own if full else own.keys() - kept.keys():
+                del self.ids[p]
+        if full:
+            fits = len(kept) <= CACHE_PIECES // 2 and size <= CACHE_BYTES // 2
+            self.older, self.ids, self.held = self.ids, kept if fits else {}, size if fits else 0
+        else:
             self.held += size
 
 
@@ -223,9 +235,21 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, seq = PieceEncoder.of(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, seq = PieceEncoder.of(tokenizer_path).encode, TaskContext.get().partitionId(), 0
         ids, lengths, parts, total, end = [], [], [], 0, END_ID.to_bytes(4, "little")
 
+        def encoded() -> Iterator[tuple[int | None, bytes]]:
+            for batch in batches:
+                names, texts, chars = [], [], 0
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    names.append(doc_id)
+                    texts.append(text.as_py() or "")
+                    chars += len(texts[-1])
+                    if len(texts) >= TEXTS or chars >= TEXT_CHARS:
+                        yield from zip(names, encode(texts), strict=True)
+                        names, texts, chars = [], [], 0
+                yield from zip(names, encode(texts), strict=True)
+
         def closed() -> pa.RecordBatch:
             image = encode_segment(ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_arrays(
@@ -233,17 +257,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
                 names=["part", "seq", "n_docs", "n_tokens", "image"],
             )
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = encode(text.as_py() or "")
-                n = len(x) // 4 + 1
-                ids.append(doc_id)
-                lengths.append(n)
-                parts += (x, end)
-                total += n
-                if total >= SEGMENT_TOKENS:
-                    yield closed()
-                    ids, lengths, parts, total, seq = [], [], [], 0, seq + 1
+        for doc_id, x in encoded():
+            n = len(x) // 4 + 1
+            ids.append(doc_id)
+            lengths.append(n)
+            parts += (x, end)
+            total += n
+            if total >= SEGMENT_TOKENS:
+                yield closed()
+                ids, lengths, parts, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield closed()
 

@@ -209,3 +209,26 @@ def test_parents_of_hosts(spark):
     assert got == plain | {"foo.pages.dev": ("foo.pages.dev", "pages.dev"), "a.b.c.kyoto.jp": ("b.c.kyoto.jp", "c.kyoto.jp")}
     pages = spark.createDataFrame([(k, f"http://u{k}.pages.dev/") for k in range(9)], "page_id long, url string")
     assert len(url_filter.judge(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int"), suffixes=suffixes).collect()) == 9
+
+
+def test_pieces_met_again_are_not_encoded_again(monkeypatch):
+    """A full cache keeps the pieces that texts still use."""
+    monkeypatch.setattr(token_output, "CACHE_PIECES", 40)
+    encode, asked = token_output.PieceEncoder(tokenizer_path()), []
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def encode(self, text, **options):
+            asked.extend(text.split())
+            return self.model.encode(text, **options)
+
+    encode.model = Counting(encode.model)
+    for k in range(60):
+        text = " ".join(["always", "here", *("abcdefghij"[k // 10] + "abcdefghij"[k % 10] + c for c in "xyz")])
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encode.ids) + len(encode.older) <= 40
+    assert asked.count("always") == asked.count("here") == 1
+    many = [f"word{c} always" for c in "abcdefgh"]
+    assert encode.encode(many) == [encode(t) for t in many]
