@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, flagged, stored
 
 BUCKETS = 1 << 16
 #: Features that a bucket has besides those counted.
@@ -66,10 +66,10 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFram
     """One row: ``gains``, an array of ``buckets`` long.  ``trusted`` has the distinct doc_id of the target.
 
     A null text has no features; rows that repeat a doc_id count each.  Without a feature in the target all gains are 0.
-    Spark broadcasts ``trusted`` while it is below the session's threshold.
+    Whole doc_id of ``trusted`` are broadcast as bits, so no text is shuffled for them (``common.flagged``).
     """
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("in_target", F.lit(1)), "doc_id", "left")
-    w = marked.select(words(F.col("text")).alias("w"), F.coalesce("in_target", F.lit(0)).alias("in_target"))
+    marked = flagged(docs.select("doc_id", "text"), "doc_id", trusted, "in_target")
+    w = marked.select(words(F.col("text")).alias("w"), F.col("in_target").cast("int").alias("in_target"))
     following = F.slice("w", F.lit(2), F.size("w"))  # one shorter: the last word has none
     pairs = w.select("in_target", F.explode(F.arrays_zip(F.col("w").alias("word"), following.alias("next"))).alias("x"))
     pair = F.concat(F.col("x.word"), F.lit(" "), F.col("x.next"))

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from pertgrid.llm import common
 from pertgrid.llm import quality_rules as q
 
 BUCKETS = 256
@@ -97,3 +99,22 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
 def test_every_trusted_document_is_fitted_on(spark):
     labels = spark.range(140_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     assert q.trusted_ids(labels).count() == 140_000
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_trusted_documents_move_no_text(spark, kind):
+    """However many they are: whole ids are broadcast as bits, and no join by shuffle meets the texts."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    keys = [0, 1, -1, 32767, 32768, 32769, -32768, -32769, 10**9, None]
+    docs = spark.createDataFrame([(k, "a b c") for k in [*keys, 5, -5, 32770]], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    trusted = spark.createDataFrame([(k,) for k in keys if k is not None], "doc_id long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when the table is too large for it
+    try:
+        for tables in (1 << 12, 0):
+            out = common.flagged(docs, "doc_id", trusted, "found", tables)
+            assert out.columns == ["doc_id", "text", "found"] and out.count() == len(keys) + 3
+            assert {r.doc_id for r in out.where("found").collect()} == {r.doc_id for r in trusted.collect()}
+            if tables and kind != "string":
+                assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
