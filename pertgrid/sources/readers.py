@@ -141,9 +141,13 @@ def grid_from_long(df: DataFrame, rows: DataFrame, columns: DataFrame, row: str,
 
 
 def axis_difference(a: DataFrame, b: DataFrame, axis: list[str]) -> DataFrame:
-    """Axis members of one relation that the other lacks; empty for identical axes."""
-    x, y = a.select(*axis).distinct(), b.select(*axis).distinct()
-    return x.exceptAll(y).unionByName(y.exceptAll(x))
+    """Axis members of one relation that the other lacks; empty for identical axes.
+
+    Both are grouped together once, so a task holds one table of members and nulls are equal.
+    """
+    side = lambda df, left: df.select(*axis, F.lit(left).alias("_left"))
+    sides = side(a, True).unionByName(side(b, False)).groupBy(*axis).agg(F.bool_or("_left").alias("_a"), F.bool_and("_left").alias("_only_a"))
+    return sides.where("_a = _only_a").select(*axis)
 
 
 def author_cell_counts(meta: DataFrame, label: str, controls: list[str]) -> DataFrame:

@@ -45,3 +45,34 @@ def test_sign_flips_are_counted_once_and_dealt_over_tasks(spark):
     found = resampling.exact_sign_flip(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], "i", "v")
     assert {r.k: r.p for r in found.collect()} == {k: pytest.approx(resampling.sign_flip_p([v for key, _, v in rows if key == k])) for k in range(12)}
     assert "repartition_by_num" in plan(found) and "inmemorytablescan" in plan(found)
+
+
+def sorts(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [")
+
+
+def test_corrections_sort_a_key_once(spark):
+    rows = [(k % 3, k, None if k % 7 == 0 else (k % 5) / 10) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, p double")
+    for correct in (ranks.benjamini_hochberg, ranks.holm):
+        assert sorts(correct(df, "p", ["k"], tie="i")) == 1
+
+
+def test_axis_difference_is_one_aggregate(spark):
+    from pertgrid.sources import readers
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "i int, s string")
+    b = spark.createDataFrame([(2, None), (3, "z"), (4, None), (4, None)], "i int, s string")
+    found = readers.axis_difference(a, b, ["i", "s"])
+    assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 'x')", "(3, 'y')", "(3, 'z')", "(4, None)"]
+    assert plan(found).split("== physical plan ==")[1].split("== initial plan ==")[0].count("exchange ") == 1
+
+
+def test_mixture_rows_are_not_dealt_by_group(spark):
+    from pertgrid.operators import signatures
+
+    rows = [("ab"[i % 2], i, float((i * 37 % 101) + 100 * (i % 3 == 0))) for i in range(600)]
+    found = signatures.mixture_posteriors(spark.createDataFrame(rows, "g string, i int, v double"), "g", "i", "v")
+    assert found.count() == 600 and "sortmergejoin" not in plan(found) and plan(found).split("== physical plan ==")[1].count("rightouter") == 0
+    assert plan(found.hint("merge")).count("broadcasthashjoin") >= 2
