@@ -91,10 +91,11 @@ def neighbour_signature(neighbours: DataFrame, values: DataFrame) -> DataFrame:
 def mixture_posteriors(scores: DataFrame, group: str, item: str, score: str, bins: int = 512, rounds: int = 100) -> DataFrame:
     """Posterior of the upper of two normal components per group, fitted by EM to each group's histogram.
 
-    A histogram of ``bins`` cells bounds what one task holds for a group; posteriors are then computed row by row.
+    A histogram of ``bins`` cells bounds what one task holds for a group; posteriors are then computed row by row.  Groups are few beside
+    their rows, so a row per group is broadcast and no group's rows meet in one task.
     """
     span = scores.groupBy(group).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    binned = scores.join(span, group).withColumn("b", F.least(F.lit(bins - 1), F.floor(safe_divide((F.col(score) - F.col("lo")) * bins, F.col("hi") - F.col("lo"), 0.0)))).groupBy(group, "b").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("x"))
+    binned = scores.join(F.broadcast(span), group).withColumn("b", F.least(F.lit(bins - 1), F.floor(safe_divide((F.col(score) - F.col("lo")) * bins, F.col("hi") - F.col("lo"), 0.0)))).groupBy(group, "b").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("x"))
     kind = next(f.dataType.simpleString() for f in scores.schema.fields if f.name == group)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +116,7 @@ def mixture_posteriors(scores: DataFrame, group: str, item: str, score: str, bin
 
     fitted = binned.groupBy(group).applyInPandas(fit, f"{group} {kind}, m0 double, s0 double, w0 double, m1 double, s1 double, w1 double")
     dens = lambda k: F.log(F.col(f"w{k}") / F.col(f"s{k}")) - F.pow((F.col(score) - F.col(f"m{k}")) / F.col(f"s{k}"), F.lit(2)) / 2
-    return scores.join(fitted, group).select(group, item, score, (1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), dens(0) - dens(1)))))).alias("posterior"))
+    return scores.join(F.broadcast(fitted), group).select(group, item, score, (1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), dens(0) - dens(1)))))).alias("posterior"))
 
 
 def diagonal_fisher(values: DataFrame, obs: DataFrame, label: str, fold: str, held: int) -> DataFrame:
