@@ -3,22 +3,24 @@
 ``pairs`` has target, gene_id, x (effect in the source), y (effect in the context) and strong (a boolean).  Targets have an outer
 fold and an inner one.  Every model is  y = s_g x  with a scale per gene, and needs per gene only the sums of x x and x y over its
 training targets; every validation loss needs those of the strong entries.  One pass makes these sums per (outer, inner, gene).  The
-training sums of a fit are differences: all, less the outer fold held out, less the inner fold left out, plus what both share.
+sums of every fit are then added up from these, all fits of a gene at once.  Several steps read ``pairs`` and the sums, so both should be stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Strong entries that a target needs to count in a loss.
 MIN_STRONG = 10
 #: Inner fold of the fits that leave none out.
 NONE = -1
+#: Bins of values per power of two when a median is sought.
+MEDIAN_BINS = 64
 _SUMS = ("xx", "xy", "mxx", "mxy", "myy", "n")
 
 
@@ -33,31 +35,53 @@ def fold_sums(pairs: DataFrame, folds: DataFrame, min_strong: int = MIN_STRONG)
     return rows.groupBy("outer", "inner", "gene_id").agg(F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(m * x * x).alias("mxx"), F.sum(m * x * y).alias("mxy"), F.sum(m * y * y).alias("myy"), F.sum(m).alias("n"))
 
 
+def _folds_of(sums: DataFrame) -> tuple[list[int], list[int]]:
+    rows = sums.select("outer", "inner").distinct().collect()  # folds times folds
+    return tuple(sorted({r[j] for r in rows if r[j] is not None}) for j in (0, 1))
+
+
+def _by_gene(sums: DataFrame, fits: list[tuple[int, int]], uses: Callable[[int, int], Column], names: tuple[str, ...]) -> DataFrame:
+    """held, left_out, gene_id and the sums of ``names`` over the folds that ``uses`` of each fit; one aggregate per gene makes all fits."""
+    of_fit = lambda h, i: F.struct(F.lit(h).cast("int").alias("held"), F.lit(i).cast("int").alias("left_out"), *[F.sum(F.when(uses(h, i), F.col(c)).otherwise(0.0)).alias(c) for c in names])
+    fitted = F.array(*[of_fit(h, i) for h, i in fits]) if fits else F.array().cast(f"array<struct<held:int,left_out:int,{','.join(f'{c}:double' for c in names)}>>")
+    return sums.groupBy("gene_id").agg(fitted.alias("fits")).select("gene_id", F.explode("fits").alias("x")).select("x.held", "x.left_out", "gene_id", *[f"x.{c}" for c in names])
+
+
 def training_sums(sums: DataFrame) -> DataFrame:
     """held, left_out, gene_id, xx, xy: the training sums of every fit.  ``left_out`` is an inner fold, or ``NONE`` for the final fit;
     a gene without training entries has zeros."""
-    cubes = sums.groupingSets([["outer", "inner", "gene_id"], ["outer", "gene_id"], ["inner", "gene_id"], ["gene_id"]], "outer", "inner", "gene_id").agg(F.sum("xx").alias("xx"), F.sum("xy").alias("xy"))
-    outers, inners = (sums.select(c).distinct() for c in ("outer", "inner"))
-    fits = outers.select(F.col("outer").alias("held")).join(inners.select(F.col("inner").alias("left_out")).unionByName(sums.sparkSession.createDataFrame([(NONE,)], "left_out int")), how="cross")  # folds times folds
-    fits = F.broadcast(fits)
-    o, i = F.col("outer"), F.col("inner")
-    concerns = (o.isNull() | (o == F.col("held"))) & (i.isNull() | (i == F.col("left_out")))
-    sign = F.when(o.isNull() == i.isNull(), 1.0).otherwise(-1.0)
-    return cubes.join(fits, concerns).groupBy("held", "left_out", "gene_id").agg(F.sum(sign * F.col("xx")).alias("xx"), F.sum(sign * F.col("xy")).alias("xy"))
+    outers, inners = _folds_of(sums)
+    return _by_gene(sums, [(h, i) for h in outers for i in [NONE, *inners]], lambda h, i: (F.col("outer") != h) & (F.col("inner") != i), _SUMS[:2])
 
 
 def _validation(sums: DataFrame) -> DataFrame:
     """held, left_out, gene_id and the strong sums of the inner fold among the training targets."""
-    inner = sums.groupBy("inner", "gene_id").agg(*[F.sum(c).alias(c) for c in _SUMS[2:]])
-    outers = F.broadcast(sums.select(F.col("outer").alias("held")).distinct())
-    own = sums.select(F.col("outer").alias("held"), F.col("inner").alias("left_out"), "gene_id", *[F.col(c).alias(f"own_{c}") for c in _SUMS[2:]])
-    every = inner.withColumnRenamed("inner", "left_out").join(outers, how="cross")  # a row per outer fold
-    return every.join(own, ["held", "left_out", "gene_id"], "left").select("held", "left_out", "gene_id", *[(F.col(c) - F.coalesce(f"own_{c}", F.lit(0.0))).alias(c) for c in _SUMS[2:]])
+    outers, inners = _folds_of(sums)
+    return _by_gene(sums, [(h, i) for h in outers for i in inners], lambda h, i: (F.col("outer") != h) & (F.col("inner") == i), _SUMS[2:])
+
+
+def exact_medians(values: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """keys, out: the median of the positive ``value`` within each key; keys without one are no rows.
+
+    Counts by bins of the logarithm tell which bins hold the middle places; only these bins are ordered, so no task holds a key's values.
+    """
+    binned = values.where(F.col(value) > 0).select(*keys, F.col(value).alias("_v"), F.floor(F.log2(value) * MEDIAN_BINS).alias("_bin"))
+    key = Window.partitionBy(*keys)
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_k"))
+    placed = counts.withColumn("_upto", F.sum("_k").over(key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_m", F.sum("_k").over(key))
+    low, high = F.floor((F.col("_m") + 1) / 2), F.floor(F.col("_m") / 2) + 1
+    before = F.col("_upto") - F.col("_k")
+    middle = placed.where((F.col("_upto") >= low) & (before < high)).select(*keys, "_bin", before.alias("_before"), low.alias("_low"), high.alias("_high"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    ranked = binned.join(F.broadcast(middle), [*keys, "_bin"]).withColumn("_rank", F.col("_before") + inside)  # two bins a key at most
+    return ranked.where((F.col("_rank") == F.col("_low")) | (F.col("_rank") == F.col("_high"))).groupBy(*keys).agg(F.avg("_v").alias(out))
 
 
 def _pooled(training: DataFrame) -> DataFrame:
     """held, left_out, pooled (one scale for all genes) and energy (the median positive xx of a gene)."""
-    return training.groupBy("held", "left_out").agg(F.coalesce(F.sum("xy") / F.nullif(F.sum("xx"), F.lit(0.0)), F.lit(0.0)).alias("pooled"), F.coalesce(F.median(F.when(F.col("xx") > 1e-12, F.col("xx"))), F.lit(1.0)).alias("energy"))
+    fit = ["held", "left_out"]
+    sums = training.groupBy(*fit).agg(F.coalesce(F.sum("xy") / F.nullif(F.sum("xx"), F.lit(0.0)), F.lit(0.0)).alias("pooled"))
+    return sums.join(F.broadcast(exact_medians(training.where("xx > 1e-12"), fit, "xx", "energy")), fit, "left").na.fill(1.0, ["energy"])
 
 
 def _shrunk(training: DataFrame, multipliers: list[float]) -> DataFrame:
@@ -135,7 +159,9 @@ def predictions(pairs: DataFrame, folds: DataFrame, scales: DataFrame, betas: Da
     """Held-out predictions of all three models: target, gene_id, y, one_scale, gene_scales, context."""
     s = F.get("beta", F.lit(0)) + sum((F.get("beta", F.lit(j + 1)) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for j, c in enumerate(names)), F.lit(0.0))
     rows = pairs.join(folds.select("target", F.col("outer").alias("held")), "target").join(F.broadcast(pooled), "held").join(F.broadcast(betas.select("held", "beta")), "held")
-    rows = rows.join(scales, ["held", "gene_id"], "left").join(features, "gene_id", "left")
+    # a row per gene with the scales of all held folds, so that the pairs are dealt once
+    folded = scales.groupBy("gene_id").agg(F.map_from_entries(F.collect_list(F.struct("held", "scale"))).alias("scales"))
+    rows = rows.join(folded.join(features, "gene_id", "full"), "gene_id", "left").withColumn("scale", F.try_element_at("scales", F.col("held")))
     return rows.select("target", "gene_id", "y", (F.col("x") * F.col("pooled")).alias("one_scale"), (F.col("x") * F.coalesce("scale", "pooled")).alias("gene_scales"), (F.col("x") * s).alias("context"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import bounded, crossfit
 from ..operators.transfer import direction, realise
 from . import registry as R
-from .calibration import _BASE, _COUNTS, _base, _value, effects_of, guide_counts
-from .registry import query, r, sql
+from .calibration import _BASE, _COUNTS, _value, guide_counts_of
+from .registry import query, r, sql, stored
 
 MULTIPLIERS = [0.0, 0.1, 1.0, 10.0, float("inf")]
 NAMES = ["mean_expression", "difference"]
@@ -21,22 +21,46 @@ def _fold(first: int, k: int):
     return (F.conv(F.substring(F.md5(F.col("target").cast("string").cast("binary")), first, 8), 16, 10).cast("long") % k).cast("int")
 
 
+def _target_genes(spark: SparkSession, d: str) -> DataFrame:
+    """target, gene_id and the counts of the two line states, F and O, null where a state has no line; stored."""
+    lines = R.table(spark, d, "lineitem").repartition("l_suppkey", "l_partkey")  # both aggregates are made where these lie
+    g = guide_counts_of(lines)
+    return stored(g.groupBy("target", "gene_id").agg(*[F.sum(F.when(F.col("context") == c, F.col("count"))).alias(c) for c in "FO"]), "cross-counts")
+
+
+def _base_cpm(own: DataFrame) -> DataFrame:
+    """gene_id, F, O: CPM of each gene in the pool of a line state, null where no target has it."""
+    whole = own.agg(*[F.sum(c).alias(f"all_{c}") for c in "FO"])
+    pool = own.groupBy("gene_id").agg(*[F.sum(c).alias(c) for c in "FO"])
+    return pool.join(F.broadcast(whole), how="cross").select("gene_id", *[(F.col(c) * 1e6 / F.col(f"all_{c}")).alias(c) for c in "FO"])  # one row
+
+
 def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, folds, features): effects of F and O of each target, 0 where one is not observed; three outer and two inner folds."""
-    g = guide_counts(spark, d)
-    effects = effects_of(g, ["context", "target"], _base(g))
-    x = effects.where("context = 'F'").select("target", "gene_id", F.col("value").alias("x"))
-    y = effects.where("context = 'O'").select("target", "gene_id", F.col("value").alias("y"))
-    pairs = x.join(y, ["target", "gene_id"], "full").na.fill(0.0, ["x", "y"]).withColumn("strong", F.abs("y") >= STRONG)
-    folds = g.select("target").distinct().withColumns({"outer": _fold(1, 3), "inner": _fold(9, 2)})
-    cpm = _base(g).groupBy("gene_id").agg(*[F.coalesce(F.sum(F.when(F.col("context") == c, F.col("base_cpm"))), F.lit(0.0)).alias(c) for c in "FO"])
-    logs = cpm.select("gene_id", *[F.log2(1 + F.col(c)).alias(c) for c in "FO"])
+    pairs, folds, base = pairs_and_base(spark, d)
+    logs = base.select("gene_id", *[F.log2(1 + F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in "FO"])
     raw = logs.select("gene_id", ((F.col("F") + F.col("O")) / 2).alias("m"), (F.col("O") - F.col("F")).alias("s"))
     moments = raw.agg(*[f(c).alias(f"{c}_{name}") for c in "ms" for name, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     scaled = raw.join(F.broadcast(moments), how="cross")  # one row
     return pairs, folds, scaled.select("gene_id", *[((F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0))).alias(n) for c, n in zip("ms", NAMES)])
 
 
+def pairs_and_base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, folds, base): those of ``inputs``, and each gene's CPM in both line states.  All that later steps read again is stored."""
+    own = _target_genes(spark, d)
+    base = stored(_base_cpm(own), "cross-base")
+    totals = own.groupBy("target").agg(*[F.sum(c).alias(f"of_{c}") for c in "FO"])
+    met = own.where("F IS NOT NULL OR O IS NOT NULL").join(base.select("gene_id", *[F.col(c).alias(f"base_{c}") for c in "FO"]), "gene_id").join(totals, "target")
+    effect = lambda c: F.coalesce(F.log((F.col(c) * 1e6 / F.col(f"of_{c}") + 20) / (F.col(f"base_{c}") + 20)), F.lit(0.0))
+    pairs = stored(met.select("target", "gene_id", effect("F").alias("x"), effect("O").alias("y")), "cross-pairs").withColumn("strong", F.abs("y") >= STRONG)
+    folds = stored(own.select("target").distinct().withColumns({"outer": _fold(1, 3), "inner": _fold(9, 2)}), "cross-folds")
+    return pairs, folds, base
+
+
+def _sums(pairs: DataFrame, folds: DataFrame) -> DataFrame:
+    return stored(crossfit.fold_sums(pairs, folds), "cross-sums")
+
+
 @query("nested_gene_scales", sql(
     g=_COUNTS, b=_BASE,
     gt="SELECT context, target, gene_id, sum(count) AS count FROM g GROUP BY ALL",
@@ -54,7 +78,7 @@ def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 def nested_gene_scales(spark, d):
     """Per held-out fold the chosen prior (-1: infinite), its loss, and the final scales' number, mean and deviation over the genes of the training targets."""
     pairs, folds, _ = inputs(spark, d)
-    chosen, scales = crossfit.gene_scales(crossfit.fold_sums(pairs, folds), MULTIPLIERS)
+    chosen, scales = crossfit.gene_scales(_sums(pairs, folds), MULTIPLIERS)
     trained = pairs.join(folds, "target").groupBy("gene_id", "outer").agg(F.count(F.lit(1)).alias("n"))
     trained = trained.join(F.broadcast(folds.select(F.col("outer").alias("held")).distinct()), F.col("outer") != F.col("held")).select("held", "gene_id").distinct()
     summed = scales.join(trained, ["held", "gene_id"], "left_semi").groupBy("held").agg(F.count(F.lit(1)).alias("n_genes"), r(F.avg("scale")).alias("mean_scale"), r(F.stddev_pop("scale")).alias("sd_scale"))
@@ -65,14 +89,14 @@ def nested_gene_scales(spark, d):
 @query("nested_context_model", None)
 def nested_context_model(spark, d):
     pairs, folds, features = inputs(spark, d)
-    return crossfit.context_model(crossfit.fold_sums(pairs, folds), features, NAMES, MULTIPLIERS)
+    return crossfit.context_model(_sums(pairs, folds), features, NAMES, MULTIPLIERS)
 
 
 @query("crossfit_errors", None)
 def crossfit_errors(spark, d):
     """Error over energy of all held-out targets by model."""
     pairs, folds, features = inputs(spark, d)
-    sums = crossfit.fold_sums(pairs, folds)
+    sums = _sums(pairs, folds)
     _, scales = crossfit.gene_scales(sums, MULTIPLIERS)
     betas = crossfit.context_model(sums, features, NAMES, MULTIPLIERS)
     found = crossfit.predictions(pairs, folds, scales, betas, crossfit.pooled_scales(sums), features, NAMES)
@@ -83,14 +107,14 @@ def crossfit_errors(spark, d):
 @query("bootstrap_context_model", None)
 def bootstrap_context_model(spark, d):
     pairs, folds, features = inputs(spark, d)
-    betas = crossfit.context_model(crossfit.fold_sums(pairs, folds), features, NAMES, MULTIPLIERS)
+    betas = crossfit.context_model(_sums(pairs, folds), features, NAMES, MULTIPLIERS)
     return crossfit.bootstrap_context(pairs, folds, features, NAMES, betas)
 
 
 @query("bootstrap_gene_scales", None)
 def bootstrap_gene_scales(spark, d):
     pairs, folds, _ = inputs(spark, d)
-    sums = crossfit.fold_sums(pairs, folds)
+    sums = _sums(pairs, folds)
     chosen, _ = crossfit.gene_scales(sums, MULTIPLIERS)
     energy = crossfit._pooled(crossfit.training_sums(sums)).where(F.col("left_out") == crossfit.NONE).select("held", "energy")
     return crossfit.bootstrap_genes(pairs, folds, chosen.join(energy, "held"))
@@ -104,6 +128,7 @@ def imputed_ridge(spark, d):
     lines = R.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("target")).agg(F.log(F.count(F.lit(1)).cast("double")).alias("size"), F.stddev_samp("l_discount").alias("spread"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"))
     balance = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("balance"))
     rows = lines.join(balance, "target", "left").join(scale, "target").join(folds.select("target", F.col("outer").alias("fold")), "target")
+    rows = stored(rows, "cross-ridge")
     names = ["size", "spread", "returned", "balance"]
     found = crossfit.ridge_predictions(rows, crossfit.imputed_ridge(rows, names, "scale", 1.0), names)
     return found.select("target", "fold", r("scale").alias("scale"), r("predicted").alias("predicted"))
@@ -116,22 +141,22 @@ def _closed(change):
 
 def _fold_rows(spark: SparkSession, d: str) -> DataFrame:
     """outer, x, y, base (CPM of the gene in O), shared (mean x of the gene, its own perturbation left out) and specific (x less it)."""
-    pairs, folds, _ = inputs(spark, d)
-    base = _base(guide_counts(spark, d)).where("context = 'O'").select("gene_id", F.col("base_cpm").alias("base"))
+    pairs, folds, both = pairs_and_base(spark, d)
+    base = both.where("O IS NOT NULL").select("gene_id", F.col("O").alias("base"))
     shared = pairs.where("target <> gene_id").groupBy("gene_id").agg(F.avg("x").alias("shared"))
-    rows = pairs.join(base, "gene_id").join(shared, "gene_id", "left").na.fill(0.0, ["shared"]).join(folds.select("target", "outer"), "target")
-    return rows.withColumn("specific", F.col("x") - F.col("shared"))
+    rows = pairs.join(base.join(shared, "gene_id", "left").na.fill(0.0, ["shared"]), "gene_id").join(folds.select("target", "outer"), "target")
+    return stored(rows.select("outer", "x", "y", "base", "shared", (F.col("x") - F.col("shared")).alias("specific")), "cross-rows")
 
 
 @query("fold_change_scale", None)
 def fold_change_scale(spark, d):
     """Each fold's scale of the source's effects, fitted to the others in fold-change space between 0 and 1.5."""
-    found = bounded.bounded_fit(_fold_rows(spark, d).persist(), "outer", "y", lambda a: _closed(a * F.col("x")), [(0.0, 1.5)])
+    found = bounded.bounded_fit(_fold_rows(spark, d), "outer", "y", lambda a: _closed(a * F.col("x")), [(0.0, 1.5)])
     return found.select("outer", r(F.get("parameters", F.lit(0)), 4).alias("scale"), r("loss").alias("loss"))
 
 
 @query("shared_specific_fit", None)
 def shared_specific_fit(spark, d):
     """Each fold's weights of the specific and the shared part, between 0 and 2."""
-    found = bounded.bounded_fit(_fold_rows(spark, d).persist(), "outer", "y", lambda a, b: _closed(a * F.col("specific") + b * F.col("shared")), [(0.0, 2.0), (0.0, 2.0)], 1e-3)
+    found = bounded.bounded_fit(_fold_rows(spark, d), "outer", "y", lambda a, b: _closed(a * F.col("specific") + b * F.col("shared")), [(0.0, 2.0), (0.0, 2.0)], 1e-3)
     return found.select("outer", r(F.get("parameters", F.lit(0)), 3).alias("specific"), r(F.get("parameters", F.lit(1)), 3).alias("shared"), r("loss").alias("loss"))

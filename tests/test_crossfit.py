@@ -140,3 +140,29 @@ def test_imputed_ridge_equals_a_direct_fit(spark):
         beta = np.linalg.pinv(d.T @ d + 0.7 * np.eye(p)) @ (d.T @ (b - b.mean()))
         for i in np.nonzero(fold == h)[0]:
             assert np.isclose(out[h, y[i]], b.mean() + (np.where(np.isnan(v[i]), med, v[i]) - mean) / sd @ beta)
+
+
+def test_medians_of_many_bins_are_exact(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 200):
+        v = [*np.exp(rng.normal(0, 3, n)), 0.0]
+        found = cf.exact_medians(spark.createDataFrame([(k, float(x)) for k in (0, 1) for x in v] + [(2, 0.0)], "k int, v double"), ["k"], "v", "m").collect()
+        assert sorted(r.k for r in found) == [0, 1] and all(np.isclose(r.m, np.median(v[:-1]), rtol=1e-15) for r in found)
+
+
+def test_training_sums_of_genes_without_training_entries_are_exact_zeros(spark):
+    sums = spark.createDataFrame([(0, 0, 5, 0.1, 0.2, 0.3, 0.1, 0.7, 1.0), (1, 0, 5, 0.3, 0.1, 0.2, 0.6, 0.1, 2.0), (1, 1, 6, 0.7, 0.3, 0.4, 0.9, 0.5, 1.0)], "outer int, inner int, gene_id int, xx double, xy double, mxx double, mxy double, myy double, n double")
+    found = {(r.held, r.left_out, r.gene_id): (r.xx, r.xy) for r in cf.training_sums(sums).collect()}
+    assert len(found) == 12 and found[1, cf.NONE, 6] == (0.0, 0.0) and found[0, 0, 5] == (0.0, 0.0) and found[0, cf.NONE, 5] == (0.3, 0.1)
+
+
+def test_inputs_are_stored_and_pairs_dealt_once(spark):
+    from pertgrid.plans import crossfit as plans
+
+    pairs, folds, features = plans.inputs(spark, "/root/testdata/sf0.001")
+    executed = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in executed(pairs) + executed(folds)
+    nothing = spark.createDataFrame([], "held int, gene_id long, scale double")
+    betas, pooled = spark.createDataFrame([], "held int, beta array<double>"), spark.createDataFrame([], "held int, pooled double")
+    found = cf.predictions(pairs, folds, nothing.hint("merge"), betas, pooled, features.hint("merge"), plans.NAMES)
+    assert found.count() == 0 and executed(found).split("Initial Plan")[0].count("hashpartitioning(held") == 0
