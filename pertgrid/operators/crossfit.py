@@ -217,13 +217,19 @@ def ridge_predictions(rows: DataFrame, fits: DataFrame, features: list[str]) ->
 
 def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """(len(keys), replicates) bootstrap weights, Poisson of mean 1, each from a hash of its key and replicate."""
+    upto = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
     with np.errstate(over="ignore"):
         x = keys.astype(np.int64).view(np.uint64)[:, None] + (np.arange(replicates, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    upto = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
-    return np.searchsorted(upto, u.ravel(), side="right").reshape(u.shape).astype(float)
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    # the first 8 bits decide all but the numbers that share them with a boundary
+    low, high = (np.searchsorted(upto, (np.arange(256) + k) / 256, side="right") for k in (0, 1))
+    top = (x >> np.uint64(56)).astype(np.uint8)
+    weights, near = low.astype(float)[top], np.nonzero((low != high)[top])
+    weights[near] = np.searchsorted(upto, (x[near] >> np.uint64(11)) / float(1 << 53), side="right")
+    return weights
 
 
 def bootstrap_context(pairs: DataFrame, folds: DataFrame, features: DataFrame, names: list[str], chosen: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
@@ -300,22 +306,23 @@ def bootstrap_genes(pairs: DataFrame, folds: DataFrame, chosen: DataFrame, repli
 
     def of_genes(table: pa.Table) -> pa.Table:
         gene, key, outer, x, y = (table[c].to_numpy() for c in ("gene_id", "key", "outer", "x", "y"))
+        order = np.argsort(gene, kind="stable")
+        gene, key, outer, x, y = gene[order], key[order], outer[order], x[order], y[order]
         keys, row = np.unique(key, return_inverse=True)
-        w = poisson_weights(keys, replicates, seed)[row]
-        out = []
-        for g in np.unique(gene):
-            for h, (multiplier, energy) in settings.items():
-                use = (gene == g) & (outer != h)
-                if np.isinf(multiplier):
-                    scale = pooled[h]
-                else:
-                    lam = multiplier * energy
-                    below = (x[use] ** 2) @ w[use] + lam
-                    scale = np.where(below > 0, ((x[use] * y[use]) @ w[use] + lam * pooled[h]) / np.where(below > 0, below, 1), pooled[h])
-                away = scale - pooled[h]
-                out.append((h, g, *np.quantile(away, [0.025, 0.5, 0.975]), float((away > 0).mean())))
-        names = ["held", "gene_id", "q025", "median", "q975", "positive_fraction"]
-        return pa.table({n: [r[j].item() if hasattr(r[j], "item") else r[j] for r in out] for j, n in enumerate(names)})
+        w = poisson_weights(keys, replicates, seed)
+        genes, starts = np.unique(gene, return_index=True)
+        terms = np.stack([v * (outer != h) for h in settings for v in (x * x, x * y)])  # of all held folds, each gene's weights are taken once
+        sums = np.stack([terms[:, at:end] @ w[row[at:end]] for at, end in zip(starts, [*starts[1:], len(gene)], strict=True)], axis=1)
+        found = []
+        for j, (h, (multiplier, energy)) in enumerate(settings.items()):
+            if np.isinf(multiplier):
+                away = np.zeros((len(genes), replicates))
+            else:
+                lam = multiplier * energy
+                below = sums[2 * j] + lam
+                away = np.where(below > 0, (sums[2 * j + 1] + lam * pooled[h]) / np.where(below > 0, below, 1), pooled[h]) - pooled[h]
+            found.append(pa.table([np.full(len(genes), h, np.int64), genes, *np.quantile(away, [0.025, 0.5, 0.975], axis=1), (away > 0).mean(axis=1)], names=["held", "gene_id", "q025", "median", "q975", "positive_fraction"]))
+        return pa.concat_tables(found)
 
     dealt = known.withColumn("block", F.floor(F.col("gene_id") / genes_together))
     return dealt.groupBy("block").applyInArrow(of_genes, f"held long, gene_id {kind}, q025 double, median double, q975 double, positive_fraction double")
