@@ -76,3 +76,21 @@ def test_mixture_rows_are_not_dealt_by_group(spark):
     found = signatures.mixture_posteriors(spark.createDataFrame(rows, "g string, i int, v double"), "g", "i", "v")
     assert found.count() == 600 and "sortmergejoin" not in plan(found) and plan(found).split("== physical plan ==")[1].count("rightouter") == 0
     assert plan(found.hint("merge")).count("broadcasthashjoin") >= 2
+
+
+def test_halves_are_dealt_in_parts(spark):
+    from pertgrid.functions.scalar import hash_order
+    from pertgrid.operators import de
+
+    obs = spark.range(60).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("target"))
+    hashes = {r.row_id: r.h for r in obs.select("row_id", hash_order("row_id", seed=4).alias("h")).collect()}
+    for keys, of in ((["target"], lambda k: k % 3), ([], lambda k: 0)):
+        found = resampling.halves(obs, keys, "row_id", 4)
+        assert found.columns == ["row_id", "target", "half"] and "windowspecdefinition(_h" not in plan(found)
+        got = {r.row_id: r.half for r in found.collect()}
+        for stratum in {of(k) for k in hashes}:
+            own = sorted((k for k in hashes if of(k) == stratum), key=hashes.get)
+            assert [got[k] for k in own] == [(n + 1) % 2 for n in range(len(own))]
+    cells = obs.withColumn("gene_id", F.lit(1)).withColumn("count", F.lit(2))
+    halves = de.paired_halves(cells, obs, "target", 1, 4)
+    assert "_part" in plan(halves) and {r.target: round(r.half_0 / r.whole, 6) for r in halves.collect()} == {"1": 0.5, "2": 0.5, None: 0.5}
