@@ -320,7 +320,8 @@ def bootstrap_genes(pairs: DataFrame, folds: DataFrame, chosen: DataFrame, repli
             else:
                 lam = multiplier * energy
                 below = sums[2 * j] + lam
-                away = np.where(below > 0, (sums[2 * j + 1] + lam * pooled[h]) / np.where(below > 0, below, 1), pooled[h]) - pooled[h]
+                seen = sums[2 * j] > 0  # a replicate without an entry of the gene has the pooled scale, not one beside it by rounding
+                away = np.where(seen, (sums[2 * j + 1] + lam * pooled[h]) / np.where(seen, below, 1), pooled[h]) - pooled[h]
             found.append(pa.table([np.full(len(genes), h, np.int64), genes, *np.quantile(away, [0.025, 0.5, 0.975], axis=1), (away > 0).mean(axis=1)], names=["held", "gene_id", "q025", "median", "q975", "positive_fraction"]))
         return pa.concat_tables(found)
 
