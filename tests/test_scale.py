@@ -1,5 +1,7 @@
 """Steps whose work, memory or results must not turn with the size of the input."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,17 @@ def test_halves_are_dealt_in_parts(spark):
     cells = obs.withColumn("gene_id", F.lit(1)).withColumn("count", F.lit(2))
     halves = de.paired_halves(cells, obs, "target", 1, 4)
     assert "_part" in plan(halves) and {r.target: round(r.half_0 / r.whole, 6) for r in halves.collect()} == {"1": 0.5, "2": 0.5, None: 0.5}
+
+
+def test_shifted_cells_are_not_joined_gene_by_gene(spark):
+    """The dense axis is made row by row: nothing that has a row per cell and gene is sorted, joined or shuffled."""
+    from pertgrid.operators import decoders
+
+    cells = spark.createDataFrame([(1, 1, 5), (1, 2, 3), (1, 9, 4), (2, 2, 7)], "row_id long, gene_id long, count long")
+    effects = spark.createDataFrame([(1, 0.5), (2, -0.2), (3, 1.0)], "gene_id long, value double")
+    got = decoders.shift_and_renormalise(cells, effects)
+    above = got._jdf.queryExecution().executedPlan().toString().split("BroadcastNestedLoopJoin")[0]
+    assert not any(step in above for step in ("SortMergeJoin", "Window", "Exchange"))
+    raw = {(c, g): max(np.expm1(np.log1p(n * 1e4 / t) + d), 0.0) for c, t, of in ((1, 12, {1: 5, 2: 3}), (2, 7, {2: 7})) for g, d in ((1, 0.5), (2, -0.2), (3, 1.0)) for n in (of.get(g, 0),)}
+    want = {(c, g): t * x / sum(y for (e, _), y in raw.items() if e == c) for (c, g), x in raw.items() for t in ((12, 7)[c - 1],)}
+    assert {(r.row_id, r.gene_id): pytest.approx(r.expected) for r in got.collect()} == want
