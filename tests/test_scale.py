@@ -110,3 +110,19 @@ def test_shifted_cells_are_not_joined_gene_by_gene(spark):
     raw = {(c, g): max(np.expm1(np.log1p(n * 1e4 / t) + d), 0.0) for c, t, of in ((1, 12, {1: 5, 2: 3}), (2, 7, {2: 7})) for g, d in ((1, 0.5), (2, -0.2), (3, 1.0)) for n in (of.get(g, 0),)}
     want = {(c, g): t * x / sum(y for (e, _), y in raw.items() if e == c) for (c, g), x in raw.items() for t in ((12, 7)[c - 1],)}
     assert {(r.row_id, r.gene_id): pytest.approx(r.expected) for r in got.collect()} == want
+
+
+def test_multinomial_draws_use_one_generator_a_key(spark):
+    from pertgrid.operators import decoders
+
+    e = spark.createDataFrame([(k, i, float(i % 5), 300) for k in range(3) for i in range(50)], "k long, i long, v double, t long").coalesce(1)
+    drawn = decoders.multinomial_draw(e, "k", "i", "v", "t")
+    whole = {(r.k, r.i): r.drawn for r in drawn.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {(r.k, r.i): r.drawn for r in drawn.collect()} == whole  # a batch's end changes no draw
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [sum(n for (k, _), n in whole.items() if k == o) for o in range(3)] == [300] * 3 and all(whole[k, 5 * j] == 0 for k in range(3) for j in range(10))
+    assert re.search(r"xxhash64\(0, k#\d+l?, 42\)", plan(drawn))  # a key's seed
+    assert "currentrow$(), unboundedfollowing" not in plan(drawn)
