@@ -126,3 +126,19 @@ def test_multinomial_draws_use_one_generator_a_key(spark):
     assert [sum(n for (k, _), n in whole.items() if k == o) for o in range(3)] == [300] * 3 and all(whole[k, 5 * j] == 0 for k in range(3) for j in range(10))
     assert re.search(r"xxhash64\(0, k#\d+l?, 42\)", plan(drawn))  # a key's seed
     assert "currentrow$(), unboundedfollowing" not in plan(drawn)
+
+
+def test_cosine_pairs_meet_in_blocks(spark):
+    from pertgrid.operators import signatures
+
+    rng = np.random.default_rng(8)
+    v = {k: [float(x) for x in rng.normal(size=3)] for k in range(30)}
+    v[4], v[5] = None, [0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([(k, x, None if k == 7 else k % 2) for k, x in v.items()], "id long, v array<float>, label int")
+    made = signatures.cosine_pairs(rows, "id", "v", "label", block=4)
+    assert "applyinpandas" in plan(made).replace("flatmapgroupsinpandas", "applyinpandas") and "mergejoin" not in plan(made).split("flatmapgroupsinpandas")[0]
+    got = {(r.i, r.j): r.cosine for r in made.collect()}
+    assert set(got) == {(i, j) for i in v for j in v if i < j and i % 2 == j % 2 and 7 not in (i, j)}
+    for (i, j), x in got.items():
+        a, b = v[i], v[j]
+        assert x is None if 4 in (i, j) or 5 in (i, j) else x == pytest.approx(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)), abs=1e-6)
