@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,21 +21,15 @@ def pool_sums(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pool_levels(cells: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
-    """Several levels in one pass: (level, key..., gene_id, count); keys that a level lacks are null.
+    """Several levels: (level, key..., gene_id, count); keys that a level lacks are null.
 
-    Counts are pooled at the union of all keys first, which combines on the map side; GROUPING SETS then expand
-    only these sums.
+    Cells are dealt by their gene once, and every level is summed from the same parts: where ``cells`` already are dealt by gene_id, no other
+    shuffle is made, and what a task holds follows from the number of these parts.
     """
     keys = list(dict.fromkeys(k for v in levels.values() for k in v))
-    fine = cells.groupBy(*keys, "gene_id").agg(F.sum("count").alias("count"))
-    sets = [[*v, "gene_id"] for v in levels.values()]
-    used = ["gene_id", *keys]
-    grouped = fine.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in used]).agg(F.sum("count").cast("long").alias("count"), *[F.grouping(c).alias(f"without_{c}") for c in keys])
-    name: Column = F.lit(None).cast("string")
-    for level, own in levels.items():
-        fits = reduce(lambda a, b: a & b, [F.col(f"without_{k}") == (0 if k in own else 1) for k in keys])
-        name = F.when(fits, level).otherwise(name)
-    return grouped.select(name.alias("level"), *keys, "gene_id", "count")
+    kinds = {k: cells.schema[k].dataType for k in keys}
+    of = lambda name, own: cells.groupBy(*own, "gene_id").agg(F.sum("count").cast("long").alias("count")).select(F.lit(name).alias("level"), *[(F.col(k) if k in own else F.lit(None).cast(kinds[k])).alias(k) for k in keys], "gene_id", "count")
+    return reduce(DataFrame.unionByName, [of(name, own) for name, own in levels.items()])
 
 
 def merge_shards(*partials: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,13 +57,15 @@ def weighted_flags(rows: DataFrame, key: str, weight: str, flag: str) -> DataFra
     return rows.groupBy(key).agg(F.sum(weight).alias("weight"), F.avg(F.col(flag).cast("double")).alias("flag_share"))
 
 
-def collapse_symbols(counts: DataFrame, genes: DataFrame) -> DataFrame:
+def collapse_symbols(counts: DataFrame, genes: DataFrame, parts: int | None = None) -> DataFrame:
     """Duplicate symbols summed in count space; ``pos`` is the first place of the symbol.
 
     ``genes`` has gene_id, symbol, pos.  Spark broadcasts it while it is below the session's threshold.
+    With ``parts`` the sums are made in that many parts of the rows.
     """
     first = genes.groupBy("symbol").agg(F.min("pos").alias("pos"))
-    summed = counts.join(genes.select("gene_id", "symbol"), "gene_id").groupBy("row_id", "symbol").agg(F.sum("count").cast("long").alias("count"))
+    named = counts.join(genes.select("gene_id", "symbol"), "gene_id")
+    summed = (named.repartition(parts, "row_id") if parts else named).groupBy("row_id", "symbol").agg(F.sum("count").cast("long").alias("count"))
     return summed.join(first, "symbol").select("row_id", "symbol", "pos", "count")
 
 

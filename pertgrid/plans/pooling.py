@@ -34,7 +34,8 @@ def pool_target(spark, d):
 SELECT CASE WHEN grouping(guide) = 0 AND grouping(target) = 0 THEN 'guide' WHEN grouping(batch) = 0 THEN 'target_batch' ELSE 'target' END AS level, target, guide, coalesce(batch, 0) AS batch, gene_id, CAST(sum(count) AS BIGINT) AS count
 FROM cells GROUP BY GROUPING SETS ((target, gene_id), (target, guide, gene_id), (target, batch, gene_id))"""))
 def pool_levels(spark, d):
-    return pooling.pool_levels(R.cells(spark, d), {"target": ["target"], "guide": ["target", "guide"], "target_batch": ["target", "batch"]}).na.fill(0, ["batch"])
+    cells = R.spread(R.cells(spark, d, dealt=True), R.table(spark, d, "lineitem").count(), "gene_id")
+    return pooling.pool_levels(cells, {"target": ["target"], "guide": ["target", "guide"], "target_batch": ["target", "batch"]}).na.fill(0, ["batch"])
 
 
 @query("pool_conservation", sql("cells", body="SELECT unnest(['target', 'guide', 'target_batch']) AS level, CAST(sum(count) AS BIGINT) AS total FROM cells"))
@@ -61,7 +62,8 @@ def pool_totals_differ(spark, d):
 
 @query("collapse_symbols", sql("counts", "genes", body="SELECT row_id, symbol, (SELECT min(pos) FROM genes x WHERE x.symbol = g.symbol) AS pos, CAST(sum(count) AS BIGINT) AS count FROM counts JOIN genes g USING (gene_id) GROUP BY row_id, symbol"))
 def collapse_symbols(spark, d):
-    return pooling.collapse_symbols(R.counts(spark, d), R.genes(spark, d))
+    lines = R.table(spark, d, "lineitem")
+    return pooling.collapse_symbols(R.counts(spark, d, dealt=True), R.genes(spark, d), R.parts(spark, lines.count()))
 
 
 @query("row_totals", sql("counts", body="SELECT row_id, CAST(sum(count) AS BIGINT) AS total, count(*) FILTER (count > 0) AS n_genes FROM counts GROUP BY row_id"))

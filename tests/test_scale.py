@@ -142,3 +142,16 @@ def test_cosine_pairs_meet_in_blocks(spark):
     for (i, j), x in got.items():
         a, b = v[i], v[j]
         assert x is None if 4 in (i, j) or 5 in (i, j) else x == pytest.approx(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)), abs=1e-6)
+
+
+def test_levels_share_one_shuffle_whose_parts_grow(spark):
+    from pertgrid.operators import pooling
+    from pertgrid.plans import registry
+
+    assert registry.parts(spark, 1000) == 3 and registry.parts(spark, 100 * registry.PART_ROWS) == 100
+    cells = spark.createDataFrame([(1, "a", 5, 2), (2, "a", 5, 3), (2, "b", 6, 4)], "row_id long, target string, gene_id long, count long")
+    dealt = registry.spread(cells, 10 * registry.PART_ROWS, "gene_id")
+    levels = pooling.pool_levels(dealt, {"target": ["target"], "all": []})
+    physical = levels._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in physical and physical.count("Exchange hashpartitioning") == physical.count("Exchange hashpartitioning(gene_id") == 2  # the second one is that of the first
+    assert {(r.level, r.target, r.gene_id, r["count"]) for r in levels.collect()} == {("target", "a", 5, 5), ("target", "b", 6, 4), ("all", None, 5, 5), ("all", None, 6, 4)}
