@@ -71,3 +71,18 @@ def test_composite_and_empty(spark, effects):
     assert alone.retrieval == 0.5 and alone.source_norm is None
     repeated = panel.panel_pairs(m.where("model IS NOT NULL").withColumn("extra", F.lit(1)), t)
     assert repeated.columns == ["model", "target", "gene_id", "prediction", "truth"]
+
+
+def test_packed_effects_give_the_same_frame_without_a_row_per_gene(spark, effects):
+    from pertgrid.operators import retrieval
+
+    _, _, m, t = effects
+    m, t = m.where("model IS NOT NULL AND gene_id IS NOT NULL"), t.where("value <> 0 OR gene_id = 0")
+    pack = lambda df, *keys: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gene_id", "value"))).alias("e")).select(*keys, F.col("e.gene_id").alias("genes"), F.col("e.value").alias("values"))
+    source, strong = m.where("model = 'a'").select("target", "gene_id", "value"), t.where("abs(value) > 0.9")
+    rows = lambda df: sorted(str({k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}) for r in df.collect())
+    packed = (pack(m, "model", "target"), pack(t, "target"), pack(source, "target"), GENES, pack(strong, "target").select("target", "genes"), False, DEPTHS, 6)
+    assert rows(panel.evaluation_frame(*packed)) == rows(panel.evaluation_frame(m, t, source, GENES, strong, False, DEPTHS, 6))
+    marked = packed[1].withColumn("strong", F.col("genes"))
+    plan = panel._met(packed[0], marked, False, DEPTHS)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" not in plan and plan.count("aggregate [") == 2  # those that packed the test's rows
